@@ -18,6 +18,12 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(_read(spark, folder, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from cartulary.llm import decontaminate
+
+    return decontaminate.leaks(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     from cartulary.llm import packing
 
@@ -25,8 +31,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_ngram_join": op2_ngram_join, "op10_packing": op10_packing}
+    return {"op2_ngram_join": op2_ngram_join, "op7_decontamination": op7_decontamination, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from cartulary.llm import decontaminate
+
+    return {"op7_decontamination": decontaminate.sql()}
