@@ -18,6 +18,18 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(_read(spark, folder, "documents"))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from cartulary.llm import quality
+
+    return quality.judge(_read(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    from cartulary.llm import language
+
+    return language.identify(_read(spark, folder, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from cartulary.llm import decontaminate
 
@@ -31,7 +43,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_ngram_join": op2_ngram_join, "op7_decontamination": op7_decontamination, "op10_packing": op10_packing}
+    return {"op2_ngram_join": op2_ngram_join, "op4_quality": op4_quality, "op5_language": op5_language, "op7_decontamination": op7_decontamination, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
