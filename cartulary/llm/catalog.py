@@ -12,6 +12,12 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from cartulary.llm import secrets
+
+    return secrets.scan(_read(spark, folder, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     from cartulary.llm import ngram_join
 
@@ -36,6 +42,12 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
 
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from cartulary.llm import url_filter
+
+    return url_filter.judge(_read(spark, folder, "pages"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     from cartulary.llm import packing
 
@@ -43,7 +55,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_ngram_join": op2_ngram_join, "op4_quality": op4_quality, "op5_language": op5_language, "op7_decontamination": op7_decontamination, "op10_packing": op10_packing}
+    return {f.__name__: f for f in (op1_secrets, op2_ngram_join, op4_quality, op5_language, op7_decontamination, op8_url_filter, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
