@@ -24,6 +24,12 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(_read(spark, folder, "documents"))
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from cartulary.llm import warc
+
+    return warc.digests(_read(spark, folder, "pages"))
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     from cartulary.llm import quality
 
@@ -36,6 +42,12 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_read(spark, folder, "documents"))
 
 
+def op6_media(spark: SparkSession, folder: str) -> DataFrame:
+    from cartulary.llm import media
+
+    return media.describe(_read(spark, folder, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from cartulary.llm import decontaminate
 
@@ -55,7 +67,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_ngram_join, op4_quality, op5_language, op7_decontamination, op8_url_filter, op10_packing)}
+    return {f.__name__: f for f in (op1_secrets, op2_ngram_join, op3_warc, op4_quality, op5_language, op6_media, op7_decontamination, op8_url_filter, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
