@@ -60,6 +60,12 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_read(spark, folder, "pages"))
 
 
+def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    from cartulary.llm import lm_score
+
+    return lm_score.score(_read(spark, folder, "documents"), tokenizer_path=public_tokenizers.path(TOKENIZER))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     from cartulary.llm import packing
 
@@ -67,7 +73,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_ngram_join, op3_warc, op4_quality, op5_language, op6_media, op7_decontamination, op8_url_filter, op10_packing)}
+    return {f.__name__: f for f in (op1_secrets, op2_ngram_join, op3_warc, op4_quality, op5_language, op6_media, op7_decontamination, op8_url_filter, op9_lm_score, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

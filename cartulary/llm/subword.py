@@ -103,11 +103,8 @@ class Subwords:
         self.keys = np.insert(self.keys, at, keys)
         self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count.astype(np.int32)])
 
-    def encode(self, chunk: textbuf.Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents of the chunk, and the offset of each document's first (one more at the end)."""
-        if not len(chunk.data):
-            return np.empty(0, self.ids.dtype), np.zeros(chunk.n + 1, np.int64)
-        starts = pieces(chunk)
+    def _entries(self, chunk: textbuf.Chunk, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Memory entries of the distinct pieces that begin at starts, and which of them each piece is."""
         ends = np.append(starts[1:], len(chunk.data))
         keys, first, back = np.unique(textbuf.hashes(chunk.data, starts, ends, lower=False), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > MEMO_PIECES:
@@ -119,8 +116,28 @@ class Subwords:
         if not known.all():
             self._learn(keys[~known], chunk.data, starts[first[~known]], ends[first[~known]])
             slot = np.searchsorted(self.keys, keys)
-        entry = self.where[slot][back]
+        return self.where[slot], back
+
+    def _gathered(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count = self.count[entry]
         total = np.concatenate([[0], np.cumsum(count)])
-        ids = self.ids[np.repeat(self.begin[entry] - total[:-1], count) + np.arange(total[-1])]
+        return self.ids[np.repeat(self.begin[entry] - total[:-1], count) + np.arange(total[-1])], total
+
+    def encode(self, chunk: textbuf.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents of the chunk, and the offset of each document's first (one more at the end)."""
+        if not len(chunk.data):
+            return np.empty(0, self.ids.dtype), np.zeros(chunk.n + 1, np.int64)
+        starts = pieces(chunk)
+        entry, back = self._entries(chunk, starts)
+        ids, total = self._gathered(entry[back])
         return ids, total[np.searchsorted(starts, chunk.offsets)]
+
+    def counts(self, chunk: textbuf.Chunk, used: np.ndarray) -> np.ndarray:
+        """How often each id stands in the documents that are used."""
+        if not len(chunk.data):
+            return np.zeros(self.size, np.int64)
+        starts = pieces(chunk)
+        entry, back = self._entries(chunk, starts)
+        times = np.bincount(back, np.repeat(used, np.diff(np.searchsorted(starts, chunk.offsets))), minlength=len(entry))
+        ids, _ = self._gathered(entry)
+        return np.bincount(ids, np.repeat(times, self.count[entry]), minlength=self.size).astype(np.int64)
