@@ -6,13 +6,20 @@ size - ceil(percent * size / 100) + 1 of each.  N-grams that many documents of a
 task share come last in that order, so common passages rarely make a block; the
 order only saves work, the result is the same under every order.
 
+Every set also shows all its n-grams below a threshold of the hash.  Those that no
+other set shows are certain mismatches: a set with more of them than the
+similarity allows has no partner and is dropped before any set is moved.  Of two
+partners, the one that is not larger has even fewer mismatches; n-grams that no
+such core set shows are mismatches too.
+
 Within blocks no list of all pairs is made.  First every set is tested against
 one hub of each of its blocks, which joins groups of near copies in one step.
-What is left, blocks whose sets lie in different components, is searched with an
-R-tree over count vectors (see rtree.py): sets of the query's own component are
-passed over, the others are bounded by summed coordinate minima, and survivors
-are verified on their whole sets.  Large blocks are dealt out as pairs of bounded
-tiles by size band.  This repeats until no untested pair passes the bound.
+Sets that blocks connect are a cluster; all links lie within clusters.  Clusters
+whose sets lie in different components are searched with an R-tree over count
+vectors (see rtree.py): sets of the query's own component are passed over, the
+others are bounded by summed coordinate minima, and survivors are verified on
+their whole sets.  Large clusters are dealt out as pairs of bounded tiles by size
+band.  This repeats until no untested pair passes the bound.
 """
 
 from __future__ import annotations
@@ -20,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +37,11 @@ from cartulary.llm.workspace import Workspace
 
 WORDS = 5
 PERCENT = 80
-GROUPS = 64
+GROUPS = 256
+#: The share of all n-grams that is shown, those of the lowest hashes.
+SHOWN = 0.28
+#: Times that sets without enough shown partners are dropped.
+DROP_ROUNDS = 3
 #: N-grams in as many documents of a task's sample of COMMON_WINDOW n-grams are ordered last; the most common of them, to bound what is sent to tasks.
 COMMON_COPIES = 4
 COMMON_WINDOW = 1 << 21
@@ -41,11 +51,14 @@ TILE = 2048
 #: Ids that are broadcast at most; beyond, texts are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Rounds in which a set is tested against only the closest of each other component; then against all.
-CLOSEST_ROUNDS = 2
+CLOSEST_ROUNDS = 1
 
 _STEPS = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
+_THRESHOLD = np.uint64(int(SHOWN * 2**64))
+
+
 def ngram_sets(chunk: textbuf.Chunk, words: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each document's word n-grams: of the whole sequence if it has fewer words, none if it has no word."""
     hashed, docs = textbuf.word_hashes(chunk)
@@ -75,20 +88,30 @@ def fingerprint(own: np.ndarray) -> int:
     return int(textbuf.mix64(x).view(np.int64)[0])
 
 
-def _prefix(own: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """The first elements of a set by (common, hash)."""
-    length = len(own) + (-percent * len(own) // 100) + 1
-    head = own[: 2 * length]
+def _shown(own: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The n-grams of a set that make blocks: its first by (common, hash), and all others under the threshold that are not common.
+
+    Also whether each is one of the latter kind, and how many of those must be
+    shared if the set is to have a partner, and to have one that is not smaller.
+    """
+    most = len(own) + (-percent * len(own) // 100)  # n-grams that a partner may lack
+    below = int(np.searchsorted(own, _THRESHOLD))
+    head = own[: max(below, 2 * (most + 1))]
     while True:
         at = np.searchsorted(common, head)
         at[at == len(common)] = 0
         rare = head[common[at] != head] if len(common) else head
-        if len(rare) >= length:
-            return rare[:length]
-        if len(head) == len(own):
-            late = own[~np.isin(own, rare, assume_unique=True)]
-            return np.concatenate([rare, late[: length - len(rare)]])
+        low = int(np.searchsorted(rare, _THRESHOLD))
+        if len(rare) > most or len(head) == len(own):
+            break
         head = own
+    grams = rare[: max(low, most + 1)]
+    if len(grams) <= most:
+        late = own[~np.isin(own, rare, assume_unique=True)]
+        grams = np.concatenate([grams, late[: most + 1 - len(grams)]])
+    # A partner that is not smaller lacks fewer: it shares at least percent of the mean of the union and both sizes.
+    few = len(own) + (-2 * percent * len(own) // (100 + percent))
+    return grams, np.arange(len(grams)) < low, max(0, low - most), max(0, low - few)
 
 
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -124,22 +147,25 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(gram, node) of the prefixes; a set that a task has met before is passed over."""
+    """(gram, node, need, core) of the n-grams that are shown; need holds twice what _shown says must be shared, and 1 more if the row counts for that; core what a set shares that has a partner not smaller than itself.  A set that a task has met before is passed over."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for chunk in textbuf.chunks(batch.column(0)):
-                grams, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+                grams, nodes, needs, cores = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
                 for own in ngram_sets(chunk, words):
                     node = fingerprint(own)
                     if len(own) and node not in seen:
                         seen.add(node)
-                        grams.append(_prefix(own, common, percent))
-                        nodes.append(np.full(len(grams[-1]), node))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(nodes))], ["gram", "node"])
+                        shown, low, need, core = _shown(own, common, percent)
+                        grams.append(shown)
+                        nodes.append(np.full(len(shown), node))
+                        needs.append((2 * need + low).astype(np.int32))
+                        cores.append(np.full(len(shown), core, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(needs)), pa.array(np.concatenate(cores))], ["gram", "node", "need", "core"])
 
-    return docs.select("text").mapInArrow(scan, "gram long, node long")
+    return docs.select("text").mapInArrow(scan, "gram long, node long, need int, core int")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -148,7 +174,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in textbuf.chunks(batch.column(0)):
-                rows = [(fingerprint(own), len(own), np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes(), own.tobytes()) for own in ngram_sets(chunk, words)]
+                rows = [(fingerprint(own), len(own), np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes(), own.tobytes()) for own in ngram_sets(chunk, words)]
                 yield pa.RecordBatch.from_pylist([dict(zip(("node", "n", "counts", "elements"), r)) for r in rows], pa.schema([("node", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("elements", pa.binary())]))
 
     return docs.select("text").mapInArrow(scan, "node long, n long, counts binary, elements binary")
@@ -187,34 +213,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(test, "a long, b long")
 
 
-def _searched(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Pairs of different components that share a block and pass the bound, from R-trees over the tiles of the blocks."""
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    blocks = labelled.groupBy("gram").agg(F.count("*").alias("n_sets"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    # A block of two was tested whole with its hub; of blocks with equal members one is enough.
-    blocks = blocks.where("n_sets > 2 and l0 <> l1").groupBy("same", "n_sets").agg(F.min("gram").alias("gram"))
-    rows = labelled.join(blocks.select("gram", "n_sets"), "gram").join(sets.select("node", "n", "counts").dropDuplicates(["node"]), "node")
-    large = F.col("n_sets") > TILE
-    band = F.when(large, F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))).otherwise(0).cast("int")
-    part = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("n_sets") / TILE))).otherwise(0).cast("long")
-    rows = rows.withColumn("tile", F.struct(band.alias("band"), part.alias("part")))
-    tiles = rows.groupBy("gram", "tile").agg(F.count("*").alias("in_tile"))
-    other = tiles.select("gram", F.col("tile").alias("tile2"))
-    # Bands are wide enough that partners lie in the same or the next one; rounding of the logarithm is covered by one more.
-    meet = tiles.join(other, "gram").where("tile <= tile2 and tile2.band <= tile.band + 2").select("gram", "tile", "tile2")
-    left = rows.join(meet, ["gram", "tile"]).select("gram", "tile", "tile2", F.lit(True).alias("first"), "node", "n", "label", "counts")
-    right = rows.withColumnRenamed("tile", "tile2").join(meet.where("tile < tile2"), ["gram", "tile2"]).select("gram", "tile", "tile2", F.lit(False).alias("first"), "node", "n", "label", "counts")
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = np.frombuffer(b"".join(rows["counts"]), "<u4").reshape(-1, GROUPS).astype(np.int64)
-        tree = rtree.CountTree(rows["n"].to_numpy(), counts, rows["label"].to_numpy())
-        first = rows["first"].to_numpy()
-        i, j = tree.joined(percent, closest, None if first.all() else first)
-        a, b = rows["node"].to_numpy()[i], rows["node"].to_numpy()[j]
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-    both = left.union(right).select(F.col("gram"), F.to_json(F.struct("tile", "tile2")).alias("meet"), "first", "node", "n", "label", "counts")
-    return both.groupBy("gram", "meet").applyInPandas(search, "a long, b long").distinct()
+def _searched(clusters: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """Pairs of different components of a cluster that pass the bound, each once, from R-trees over tiles of the clusters."""
+    points = sets.select("node", "n", "counts").dropDuplicates(["node"])
+    labelled = clusters.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # A cluster of two was tested whole with its hub.
+    mixed = labelled.groupBy("cluster").agg(F.count("*").alias("n_sets"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("n_sets > 2 and l0 <> l1")
+    rows = labelled.join(mixed.select("cluster", "n_sets"), "cluster").join(points.select("node", "n"), "node")
+    # Large clusters are cut by size into bands, and bands of many sets by hash.
+    rows = rows.withColumn("band", F.when(F.col("n_sets") > TILE, F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))).otherwise(0).cast("int"))
+    parts = rows.groupBy("cluster", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    rows = rows.join(parts, ["cluster", "band"]).withColumn("tile", F.struct("band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
+    tiles = rows.groupBy("cluster", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = tiles.select("cluster", F.col("tile").alias("tile2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    # Tiles meet if any two of their sizes may be partners.
+    meet = tiles.join(other, "cluster").where(f"tile <= tile2 and {percent} * low <= 100 * high2 and {percent} * low2 <= 100 * high").select("cluster", "tile", "tile2")
+    left = rows.join(meet, ["cluster", "tile"]).select("cluster", "tile", "tile2", F.lit(True).alias("first"), "node", "n", "label")
+    right = rows.withColumnRenamed("tile", "tile2").join(meet.where("tile < tile2"), ["cluster", "tile2"]).select("cluster", "tile", "tile2", F.lit(False).alias("first"), "node", "n", "label")
+
+    def search(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+        node, n, label, first = (rows[c].to_numpy() for c in ("node", "n", "label", "first"))
+        i, j = rtree.pairs(n, counts, label, percent, closest, None if first.all() else first)
+        return pa.table({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j])})
+
+    # The vectors join last: they are the widest column.
+    both = left.union(right).join(points.select("node", "counts"), "node").select("cluster", F.xxhash64("tile", "tile2").alias("meet"), "first", "node", "n", "label", "counts")
+    return both.groupBy("cluster", "meet").applyInArrow(search, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -236,9 +262,17 @@ def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
 
     nodes = documents.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     prefixes = _prefixes(docs, common, words, percent)
-    blocks = prefixes.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("gram", "hub")
-    members = work.table("members", prefixes.join(blocks, "gram").groupBy("gram", "node").agg(F.first("hub").alias("hub")))
-    star = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    blocks = prefixes.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("gram")
+    members = work.table("members-0", prefixes.join(blocks, "gram").groupBy("gram", "node").agg(F.first("need").alias("need"), F.first("core").alias("core")))
+    for turn in range(1, DROP_ROUNDS + 1):
+        shared = members.groupBy("node").agg(F.sum(F.col("need") % 2).alias("shared"), F.max(F.floor(F.col("need") / 2)).alias("need"), F.max("core").alias("core"))
+        alive = shared.where("shared >= need").select("node", (F.col("shared") >= F.col("core")).alias("is_core"))
+        left = members.join(alive, "node")
+        # Of two partners the smaller one is a core set: blocks without any link nothing, and a core set is their hub.
+        blocks = left.groupBy("gram").agg(F.min(F.when(F.col("is_core"), F.col("node"))).alias("hub"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last and hub is not null").select("gram", "hub")
+        members = work.table(f"members-{turn}", left.select("gram", "node", "need", "core").join(blocks, "gram"))
+        work.drop(f"members-{turn - 1}")
+    star = members.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
     wanted = work.table("wanted", members.select("node").distinct().join(nodes, "node").select("doc_id"))
     kept = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
@@ -246,11 +280,11 @@ def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
     tested = work.table("tested-0", _bounded(star, sets, percent))
     links = work.table("links-0", _verified(tested, sets, percent).distinct())
     labels = components(work, links, "labels-0")
-    members = members.select("gram", "node")
+    clusters = components(work, star, "clusters").withColumnRenamed("label", "cluster")
     turn = 0
     while True:
         turn += 1
-        found = _searched(members, labels, sets, percent, turn <= CLOSEST_ROUNDS)
+        found = _searched(clusters, labels, sets, percent, turn <= CLOSEST_ROUNDS)
         found = work.table(f"tested-{turn}", found.join(tested, ["a", "b"], "left_anti"))
         if not found.limit(1).count():
             if turn <= CLOSEST_ROUNDS:

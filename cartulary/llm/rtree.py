@@ -10,6 +10,33 @@ from __future__ import annotations
 import numpy as np
 
 FANOUT = 16
+#: Sets that are one leaf: compared in one step, without inner nodes.
+LEAF = 32
+
+
+def _leaf(sizes: np.ndarray, counts: np.ndarray, kin: np.ndarray, percent: int, closest: bool, left: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """joined() of a few sets."""
+    i, j = np.triu_indices(len(sizes), 1)
+    fits = (kin[i] != kin[j]) & (100 * np.maximum(sizes[i], sizes[j]) * percent <= 10000 * np.minimum(sizes[i], sizes[j]))
+    if left is not None:
+        fits &= left[i] != left[j]
+    i, j = i[fits], j[fits]
+    shared = np.minimum(counts[i], counts[j]).sum(axis=1)
+    fits = (100 + percent) * shared >= percent * (sizes[i] + sizes[j])
+    i, j, shared = i[fits], j[fits], shared[fits] / (sizes[i] + sizes[j])[fits]
+    if closest and len(i) > 1:
+        order = np.lexsort([-shared, kin[j], i])
+        i, j = i[order], j[order]
+        first = np.concatenate([[True], (i[1:] != i[:-1]) | (kin[j][1:] != kin[j][:-1])])
+        i, j = i[first], j[first]
+    return i, j
+
+
+def pairs(sizes: np.ndarray, counts: np.ndarray, kin: np.ndarray, percent: int, closest: bool, left: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """CountTree.joined(), for any number of sets."""
+    if len(sizes) <= LEAF:
+        return _leaf(sizes, counts, kin, percent, closest, left)
+    return CountTree(sizes, counts, kin).joined(percent, closest, left)
 
 
 class CountTree:
@@ -43,8 +70,8 @@ class CountTree:
                 nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
         return nodes
 
-    def joined(self, percent: int, closest: bool, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of row numbers that may be similar, each once.  closest: for each set only the best of each kin.  left: where given, pairs of one row in it and one not."""
+    def joined(self, percent: int, closest: bool, left: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of row numbers that may be similar, each once.  closest: for each set only the best of each kin.  left: where given, pairs of one row in it and one not. """
         a, b = [], []
         for i in range(len(self.order)):
             if left is not None and not left[self.order[i]]:
