@@ -28,5 +28,5 @@ def plain(rows):
 def test_query_equals_sql(spark, tables, name):
     got = catalog.QUERIES[name](spark, DATA)
     columns = sorted(got.columns)
-    want = tables.execute(f"select {', '.join(columns)} from ({catalog.SQL[name]})").fetchall()
+    want = tables.execute(f"select {', '.join(chr(34) + c + chr(34) for c in columns)} from ({catalog.SQL[name]})").fetchall()
     assert plain(map(tuple, got.select(columns).collect())) == plain(want)
