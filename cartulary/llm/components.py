@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping, all in tables."""
+"""Connected components by label propagation with hooking and pointer jumping, all in tables."""
 
 from __future__ import annotations
 
@@ -21,8 +21,11 @@ def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("to"), F.col("label").alias("was"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        moved = step.join(jump, "to").select("node", F.least("to", "far").alias("label"), (F.least("to", "far") != F.col("was")).alias("moved"))
+        # What any node of a label has met goes to the node that gave the label, so whole trees move at once.
+        hooks = step.where("to < was").groupBy(F.col("was").alias("node")).agg(F.min("to").alias("hook"))
+        hooked = step.join(hooks, "node", "left").select("node", F.least("to", "hook").alias("to"), "was")
+        jump = hooked.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        moved = hooked.join(jump, "to").select("node", F.col("far").alias("label"), (F.col("far") != F.col("was")).alias("moved"))
         turn += 1
         after = work.table(f"{name}-{turn}", moved)
         still = after.where("moved").limit(1).count()

@@ -17,8 +17,9 @@ one hub of each of its blocks, which joins groups of near copies in one step.
 Sets that blocks connect are a cluster; all links lie within clusters.  Clusters
 whose sets lie in different components are searched with an R-tree over count
 vectors (see rtree.py): sets of the query's own component are passed over, the
-others are bounded by summed coordinate minima, and survivors are verified on
-their whole sets.  Large clusters are dealt out as pairs of bounded tiles by size
+others are bounded by summed coordinate minima, first over few groups, then over
+some eight groups for each element, and survivors are verified on their whole
+sets.  Large clusters are dealt out as pairs of bounded tiles by size
 band.  This repeats until no untested pair passes the bound.
 """
 
@@ -40,8 +41,8 @@ PERCENT = 80
 GROUPS = 256
 #: The share of all n-grams that is shown, those of the lowest hashes.
 SHOWN = 0.28
-#: Times that sets without enough shown partners are dropped.
-DROP_ROUNDS = 3
+#: Parts over which the sets of a common n-gram are dealt.
+SPREAD = 64
 #: N-grams in as many documents of a task's sample of COMMON_WINDOW n-grams are ordered last; the most common of them, to bound what is sent to tasks.
 COMMON_COPIES = 4
 COMMON_WINDOW = 1 << 21
@@ -147,7 +148,7 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(gram, node, need, core) of the n-grams that are shown; need holds twice what _shown says must be shared, and 1 more if the row counts for that; core what a set shares that has a partner not smaller than itself.  A set that a task has met before is passed over."""
+    """(gram, node, need, core, part) of the n-grams that are shown; need holds twice what _shown says must be shared, and 1 more if the row counts for that; core what a set shares that has a partner not smaller than itself; part deals out common n-grams and is 0 for others.  A set that a task has met before is passed over."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -163,41 +164,113 @@ def _prefixes(docs: DataFrame, common: np.ndarray, words: int, percent: int) ->
                         nodes.append(np.full(len(shown), node))
                         needs.append((2 * need + low).astype(np.int32))
                         cores.append(np.full(len(shown), core, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(needs)), pa.array(np.concatenate(cores))], ["gram", "node", "need", "core"])
+                gram, node = np.concatenate(grams), np.concatenate(nodes)
+                part = np.where(np.isin(gram, common), 1 + node % SPREAD, 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(node), pa.array(np.concatenate(needs)), pa.array(np.concatenate(cores)), pa.array(part)], ["gram", "node", "need", "core", "part"])
 
-    return docs.select("text").mapInArrow(scan, "gram long, node long, need int, core int")
+    return docs.select("text").mapInArrow(scan, "gram long, node long, need int, core int, part int")
+
+
+def _members(prefixes: DataFrame) -> DataFrame:
+    """(gram, node, need, core), each once, of the n-grams that several sets show, or that are common.  A stream over sorted rows: one row is held back."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["gram", "node", "need", "core"]
+        held, held_shared = None, False
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in (*names, "part")]
+            if not len(cols[0]):
+                continue
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+            cols = [c[new] for c in cols]
+            shared = cols[4] > 0
+            same = cols[0][1:] == cols[0][:-1]
+            shared[1:] |= same
+            shared[:-1] |= same
+            shared[0] |= held_shared
+            held, held_shared = [c[-1:] for c in cols], bool(shared[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][shared[:-1]]) for c in cols[:4]], names)
+        if held_shared:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[:4]], names)
+
+    return prefixes.repartition("gram", "part").sortWithinPartitions("gram", "node").mapInArrow(runs, "gram long, node long, need int, core int")
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest of 1, 2 or 4 bytes that holds them all."""
+    most = int(counts.max(initial=0))
+    return counts.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A row of counts for each value of _packed."""
+    rows = [np.frombuffer(x, f"<u{len(x) // GROUPS}") for x in column.to_pylist()]
+    return np.array(rows, np.uint32).reshape(-1, GROUPS)
+
+
+def _marks(own: np.ndarray) -> bytes:
+    """The fine count vector: a bit for each of some 8 to 16 groups an element, set if its count is not 0."""
+    bits = np.zeros(8 << max(0, len(own) - 1).bit_length(), np.uint8)
+    bits[((own >> np.uint64(8)) & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_shared(n_x: int, marks_x: bytes, n_y: int, marks_y: bytes) -> int:
+    """An upper bound of two sets' overlap from their fine count vectors.
+
+    The smaller of two counts is at most the smaller of both cut at one and what
+    the cut took; over all groups, the cut took a set's size less its bits.
+    """
+    x, y = np.frombuffer(marks_x, np.uint8), np.frombuffer(marks_y, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    bits = [int(np.bitwise_count(z).sum(dtype=np.int64)) for z in (x, y, x & y)]
+    return bits[2] + min(n_x - bits[0], n_y - bits[1])
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, size, counts and elements of the documents' sets."""
+    """node, size, counts, fine counts and elements of the documents' sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in textbuf.chunks(batch.column(0)):
-                rows = [(fingerprint(own), len(own), np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes(), own.tobytes()) for own in ngram_sets(chunk, words)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("node", "n", "counts", "elements"), r)) for r in rows], pa.schema([("node", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("elements", pa.binary())]))
+                rows = [(fingerprint(own), len(own), _packed(np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)), _marks(own), own.tobytes()) for own in ngram_sets(chunk, words)]
+                yield pa.RecordBatch.from_pylist([dict(zip(("node", "n", "counts", "marks", "elements"), r)) for r in rows], pa.schema([("node", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("marks", pa.binary()), ("elements", pa.binary())]))
+
+    return docs.select("text").mapInArrow(scan, "node long, n long, counts binary, marks binary, elements binary")
+
 
-    return docs.select("text").mapInArrow(scan, "node long, n long, counts binary, elements binary")
+def _used(pairs: DataFrame, sets: DataFrame, n_pairs: int) -> DataFrame:
+    """The sets that the pairs name: where the pairs are few, others are dropped before the shuffle."""
+    if 2 * n_pairs > BROADCAST_ROWS:
+        return sets
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return sets.join(F.broadcast(named), "node", "left_semi")
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose count vectors allow the overlap."""
-    points = sets.select("node", "n", "counts")
-    a, b = (points.toDF(x, f"n_{x}", f"counts_{x}") for x in "ab")
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int, n_pairs: int) -> DataFrame:
+    """Pairs whose fine count vectors allow the overlap."""
+    points = _used(pairs, sets.select("node", "n", "marks"), n_pairs)
+    a, b = (points.toDF(x, f"n_{x}", f"marks_{x}") for x in "ab")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("counts_a", "counts_b"))
-            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            fits = (100 + percent) * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= percent * n
-            yield batch.select(["a", "b"]).filter(pa.array(fits))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "marks_a", "n_b", "marks_b")))
+            fits = [(100 + percent) * most_shared(*r) >= percent * (r[0] + r[2]) for r in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(test, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "marks_a", "marks_b").mapInArrow(test, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, n_pairs: int) -> DataFrame:
     """Pairs whose whole sets have the similarity."""
-    a, b = (sets.select("node", "elements").toDF(x, f"set_{x}") for x in "ab")
+    whole = _used(pairs, sets.select("node", "elements"), n_pairs)
+    a, b = (whole.toDF(x, f"set_{x}") for x in "ab")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +306,7 @@ def _searched(clusters: DataFrame, labels: DataFrame, sets: DataFrame, percent:
 
     def search(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+        counts = _unpacked(rows["counts"]).astype(np.int64)
         node, n, label, first = (rows[c].to_numpy() for c in ("node", "n", "label", "first"))
         i, j = rtree.pairs(n, counts, label, percent, closest, None if first.all() else first)
         return pa.table({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j])})
@@ -261,24 +334,30 @@ def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
     common = np.array(sorted(np.array([r[0] for r in often.select("key").collect()], np.int64).view(np.uint64)), np.uint64)
 
     nodes = documents.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    prefixes = _prefixes(docs, common, words, percent)
-    blocks = prefixes.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("gram")
-    members = work.table("members-0", prefixes.join(blocks, "gram").groupBy("gram", "node").agg(F.first("need").alias("need"), F.first("core").alias("core")))
-    for turn in range(1, DROP_ROUNDS + 1):
-        shared = members.groupBy("node").agg(F.sum(F.col("need") % 2).alias("shared"), F.max(F.floor(F.col("need") / 2)).alias("need"), F.max("core").alias("core"))
-        alive = shared.where("shared >= need").select("node", (F.col("shared") >= F.col("core")).alias("is_core"))
-        left = members.join(alive, "node")
-        # Of two partners the smaller one is a core set: blocks without any link nothing, and a core set is their hub.
-        blocks = left.groupBy("gram").agg(F.min(F.when(F.col("is_core"), F.col("node"))).alias("hub"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last and hub is not null").select("gram", "hub")
-        members = work.table(f"members-{turn}", left.select("gram", "node", "need", "core").join(blocks, "gram"))
-        work.drop(f"members-{turn - 1}")
-    star = members.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-
-    wanted = work.table("wanted", members.select("node").distinct().join(nodes, "node").select("doc_id"))
+    shown = work.table("shown", _members(_prefixes(docs, common, words, percent)))
+    shared = shown.groupBy("node").agg(F.sum(F.col("need") % 2).alias("shared"), F.max(F.floor(F.col("need") / 2)).alias("need"), F.max("core").alias("core"))
+    alive = shared.where("shared >= need").select("node", (F.col("shared") >= F.col("core")).alias("is_core"))
+    left = shown.select("gram", "node").join(alive, "node")
+    # Of two partners the smaller one is a core set: blocks without any link nothing, and a core set is their hub.
+    blocks = left.groupBy("gram").agg(F.min(F.when(F.col("is_core"), F.col("node"))).alias("hub"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last and hub is not null").select("gram", "hub")
+    star = work.table("star", left.join(blocks, "gram").where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
+    work.drop("shown")
+
+    wanted = work.table("wanted", star.select(F.col("a").alias("node")).union(star.select("b")).distinct().join(nodes, "node").select("doc_id"))
     kept = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     sets = work.table("sets", _sets(docs.select("doc_id", "text").join(kept, "doc_id", "left_semi"), words))
-    tested = work.table("tested-0", _bounded(star, sets, percent))
-    links = work.table("links-0", _verified(tested, sets, percent).distinct())
+
+    def linked_of(found: DataFrame, turn: int) -> DataFrame | None:
+        """The links among pairs; None if there are none."""
+        bounded = work.table(f"bounded-{turn}", _bounded(found, sets, percent, found.count()))
+        if not (n_pairs := bounded.count()):
+            return None
+        new = work.table(f"links-{turn}", _verified(bounded, sets, percent, n_pairs).distinct())
+        return new if new.limit(1).count() else None
+
+    tested, links = star, linked_of(star, 0)
+    if links is None:
+        links = star.limit(0)
     labels = components(work, links, "labels-0")
     clusters = components(work, star, "clusters").withColumnRenamed("label", "cluster")
     turn = 0
@@ -292,8 +371,7 @@ def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
                 continue
             break
         tested = tested.union(found)
-        new = work.table(f"links-{turn}", _verified(found, sets, percent).distinct())
-        if new.limit(1).count():
+        if (new := linked_of(found, turn)) is not None:
             links = links.union(new)
             labels = components(work, links, f"labels-{turn}")
         elif turn > CLOSEST_ROUNDS:
