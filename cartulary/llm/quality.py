@@ -141,13 +141,13 @@ def features(chunk: textbuf.Chunk, pattern: np.ndarray) -> np.ndarray:
 
 
 def fit_scorer(x: np.ndarray, p: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Weights of a logistic scorer (the bias last) for posteriors p."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    """Weights of a logistic scorer (the bias last) for posteriors p.  x stays in single precision and is not copied."""
+    w, m, v, g = (np.zeros(x.shape[1] + 1) for _ in range(4))
     w[-1] = 1e-6
     for t in range(1, rounds + 1 if len(p) else 1):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        g = x.T @ (q - p) / len(p) + 1e-5 * w
+        off = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(np.float32) + w[-1], -50, 50))) - p
+        g[:-1], g[-1] = off.astype(np.float32) @ x, off.sum()
+        g = g / len(p) + 1e-5 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -181,9 +181,17 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray
                 x = features(chunk, pattern).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array([r.tobytes() for r in x], pa.binary())], ["pattern", "x"])
 
-    rows = sorted(map(tuple, chosen.mapInArrow(scan, "pattern long, x binary").collect()))
-    x = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.float16).reshape(-1, BUCKETS + 3 * len(HEURISTICS)).astype(np.float32)
-    return model, fit_scorer(x, model.posterior(np.array([r[0] for r in rows], np.int64)))
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, parts = [np.empty(0, np.int64)], [np.empty((0, BUCKETS + 3 * len(HEURISTICS)), np.float32)]
+        for batch in batches:
+            seen.append(batch.column(0).to_numpy())
+            parts.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float16).reshape(batch.num_rows, -1).astype(np.float32))
+        weights = fit_scorer(np.concatenate(parts), model.posterior(np.concatenate(seen)))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
+
+    # The sample is bounded, so one task can fit it; only the weights come to the driver.  In one order, so that the sums are the same each time.
+    measured = chosen.mapInArrow(scan, "pattern long, x binary").coalesce(1).sortWithinPartitions("pattern", "x")
+    return model, np.frombuffer(bytes(measured.mapInArrow(fit, "weights binary").collect()[0][0]))
 
 
 def judge(docs: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
