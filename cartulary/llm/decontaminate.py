@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, so a question that was given
 other values keeps its template.  Windows of template tokens are hashed and
 joined with those of the benchmark; a match counts only if the values in its slots
 are consistent: within one alignment each value of the item stands for one value
-of the document.
+of the document.  Each alignment is judged by itself: one that is inconsistent
+takes nothing from what the others cover.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.llm.workspace import Workspace
+
 WINDOW = 8
 #: An item is leaked if this share of its windows, or this many windows, are found in a document.
 SHARE = 0.5
@@ -74,6 +77,9 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: float = SHARE, run: int = RUN) -> DataFrame:
     """A row per leaked (doc_id, item_id): matched and n_windows, share, slot pairs and conflicts.
 
+    matched counts the windows that alignments without a conflict cover, slots
+    their pairs of values; conflicts of what is returned are 0.
+
     An item shorter than the window is one window; one of fewer than LEAST_TOKENS
     tokens is not compared.  Null and empty texts match nothing; rows without a
     doc_id or item_id are ignored; repeated rows count once; empty tables give no
@@ -93,14 +99,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share:
     found = reduce(DataFrame.union, hits).join(F.broadcast(known) if small else known, ["hash", "length"])
     # A window may stand in a document many times: a pair of positions is one match.
     found = found.select("doc_id", "item_id", "pos", "b_pos", "n_windows", "b_values")
-    plain = found.groupBy("doc_id", "item_id", "n_windows", "b_pos").agg(F.min("pos").alias("pos"))
-    counts = plain.groupBy("doc_id", "item_id").agg(F.max("n_windows").cast("long").alias("n_windows"), F.count("*").alias("matched"))
-    counts = counts.where((F.col("matched") >= share * F.col("n_windows")) | (F.col("matched") >= run))
-    filled = found.where(F.size("b_values") > 0).join(counts.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
-    pairs = _slot_pairs(docs, filled, window)
-    slots = pairs.groupBy("doc_id", "item_id").agg(F.count("*").alias("slots"), F.sum((F.col("values") > 1).cast("long")).alias("conflicts"))
-    judged = counts.join(slots, ["doc_id", "item_id"], "left").select("doc_id", "item_id", "matched", "n_windows", F.round(F.col("matched") / F.col("n_windows"), 6).alias("share"), F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
-    return judged.where("conflicts = 0")
+    found = Workspace(docs.sparkSession, "decontaminate").table("found", found)
+
+    def enough(matches: DataFrame) -> DataFrame:
+        plain = matches.groupBy("doc_id", "item_id", "n_windows", "b_pos").agg(F.min("pos").alias("pos"))
+        counts = plain.groupBy("doc_id", "item_id").agg(F.max("n_windows").cast("long").alias("n_windows"), F.count("*").alias("matched"))
+        return counts.where((F.col("matched") >= share * F.col("n_windows")) | (F.col("matched") >= run))
+
+    # What all alignments cover is a bound of what consistent ones do: other pairs need no values.
+    found = found.join(enough(found).select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").withColumn("shift", F.col("pos") - F.col("b_pos"))
+    pairs = _slot_pairs(docs, found.where(F.size("b_values") > 0), window)
+    shifts = pairs.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("slots"), F.sum((F.col("values") > 1).cast("long")).alias("conflicts"))
+    kept = found.join(shifts.where("conflicts > 0"), ["doc_id", "item_id", "shift"], "left_anti")
+    slots = shifts.where("conflicts = 0").groupBy("doc_id", "item_id").agg(F.sum("slots").alias("slots"))
+    judged = enough(kept).join(slots, ["doc_id", "item_id"], "left")
+    return judged.select("doc_id", "item_id", "matched", "n_windows", F.round(F.col("matched") / F.col("n_windows"), 6).alias("share"), F.coalesce("slots", F.lit(0)).alias("slots"), F.lit(0).cast("long").alias("conflicts"))
 
 
 def _slot_pairs(docs: DataFrame, filled: DataFrame, window: int) -> DataFrame:
@@ -108,10 +121,10 @@ def _slot_pairs(docs: DataFrame, filled: DataFrame, window: int) -> DataFrame:
     slotted = filled.select("doc_id").distinct()
     # Only documents whose matches have slots are read again.
     own = docs.join(slotted, "doc_id", "left_semi").where("text is not null").select("doc_id", template_tokens(F.col("text")).alias("tokens"), slot_values(F.col("text")).alias("d_values")).dropDuplicates(["doc_id"])
-    both = filled.select("doc_id", "item_id", "pos", "b_pos", "b_values").distinct().join(own, "doc_id")
+    both = filled.select("doc_id", "item_id", "pos", "shift", "b_values").distinct().join(own, "doc_id")
     before = _slots(F.slice("tokens", F.lit(1), F.col("pos")))
     pair = F.arrays_zip(F.col("b_values").alias("b"), F.slice("d_values", before + 1, F.size("b_values")).alias("d"))
-    each = both.select("doc_id", "item_id", (F.col("pos") - F.col("b_pos")).alias("shift"), F.explode(pair).alias("pair"))
+    each = both.select("doc_id", "item_id", "shift", F.explode(pair).alias("pair"))
     return each.groupBy("doc_id", "item_id", "shift", "pair.b").agg(F.countDistinct(F.coalesce("pair.d", F.lit(""))).alias("values"))
 
 

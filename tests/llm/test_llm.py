@@ -136,6 +136,17 @@ def test_templates_catch_other_values(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [2, 3, 4]
 
 
+def test_alignments_are_judged_one_by_one(spark):
+    fib = "What is the next number in 1, 1, 2, 3, 5, 8, 13, 21, 34, 55?"
+    sums = "If each of 4 boxes holds 4 red balls and 4 blue balls how many balls are in all of them"
+    bench = spark.createDataFrame([(1, fib), (2, sums)], "item_id long, text string")
+    odd = sums.replace("4", "5", 1).replace("4", "6", 1)
+    docs = spark.createDataFrame([(1, fib), (2, sums + ". Other text. " + odd), (3, odd.split(" how")[0])], "doc_id long, text string")
+    got = [(r["doc_id"], r["item_id"], r["matched"] == r["n_windows"], r["conflicts"]) for r in decontaminate.leaks(docs, bench).collect()]
+    assert sorted(got) == [(1, 1, True, 0), (2, 2, True, 0)]
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [3]
+
+
 def test_secrets_are_masked(spark, docs):
     found = [r for r in secrets.scan(docs).collect() if r["is_secret"]]
     assert {r["doc_id"] for r in found} == {11} and len(found) == 2
