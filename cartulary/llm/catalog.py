@@ -48,6 +48,12 @@ def op6_media(spark: SparkSession, folder: str) -> DataFrame:
     return media.describe(_read(spark, folder, "documents"))
 
 
+def op6_pcm_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    from cartulary.llm import media
+
+    return media.pcm_blocks(_read(spark, folder, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from cartulary.llm import decontaminate
 
@@ -73,7 +79,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_ngram_join, op3_warc, op4_quality, op5_language, op6_media, op7_decontamination, op8_url_filter, op9_lm_score, op10_packing)}
+    return {f.__name__: f for f in (op1_secrets, op2_ngram_join, op3_warc, op4_quality, op5_language, op6_media, op6_pcm_blocks, op7_decontamination, op8_url_filter, op9_lm_score, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

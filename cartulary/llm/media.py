@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm import flac, textbuf
+from cartulary.llm.workspace import Workspace
 
 UNIT = 64
 #: Payload bytes that are coded together; a longer text is coded alone.
@@ -56,12 +57,45 @@ def described(media: DataFrame) -> DataFrame:
     return media.mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def blocks(media: DataFrame) -> DataFrame:
+    """The PCM blocks of the stored bytes: doc_id, first_sample, n_samples, media_offset and block.
+
+    A block holds the unsigned 8-bit samples of one frame, from first_sample on;
+    the frame begins at byte media_offset of the stream.  All checksums are verified.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in textbuf.chunks(batch.column(2), CHUNK_BYTES):
+                raw = [chunk.text(i) for i in range(chunk.n)]
+                meta = [flac.Stream(r) for r in raw]
+                first = [np.asarray(m.first, np.int64) for m in meta]
+                n = [np.diff(np.append(f, m.samples)) for f, m in zip(first, meta)]
+                pcm = [p[a : a + k] for p, f, own in zip(flac.decode(raw), first, n) for a, k in zip(f.tolist(), own.tolist())]
+                rows = pa.array(np.repeat(np.arange(chunk.n), [len(f) for f in first]))
+                offset = np.concatenate([np.asarray(m.offset, np.int64) for m in meta])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n).take(rows), pa.array(np.concatenate(first)), pa.array(np.concatenate(n)), pa.array(offset), pa.array(pcm, pa.binary())], ["doc_id", "first_sample", "n_samples", "media_offset", "block"])
+
+    return media.mapInArrow(read, "doc_id long, first_sample long, n_samples long, media_offset long, block binary")
+
+
+def _reread(docs: DataFrame) -> DataFrame:
+    """stored(), written to the shared folder and read back."""
+    return Workspace(docs.sparkSession, "media").table("stored", stored(docs))
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """A row per document: see described().
 
     Null counts as an empty text, whose payload is UNIT zeros.  Equal texts have
     equal values; repeated rows are returned as often as they occur; texts of any
-    length are stored whole; an empty table gives no rows.  The stored bytes go
-    from the writer to the reader as a column; nothing of the text goes with them.
+    length are stored whole; an empty table gives no rows.  The streams are written
+    to the shared folder, and what is read back is described; nothing of the text
+    goes with them.
     """
-    return described(stored(docs))
+    return described(_reread(docs))
+
+
+def pcm_blocks(docs: DataFrame) -> DataFrame:
+    """A row per PCM block of each document's stored stream: see blocks(); edge cases as in describe()."""
+    return blocks(_reread(docs))

@@ -106,6 +106,22 @@ def test_media(spark, docs):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
 
 
+def test_media_is_stored_and_read_back_in_blocks(spark, docs, monkeypatch):
+    written = []
+    table = media.Workspace.table
+    monkeypatch.setattr(media.Workspace, "table", lambda self, *a: written.append(table(self, *a)) or written[-1])
+    own = docs.where("doc_id in (5, 6, 7)")
+    assert sorted(r["payload_bytes"] for r in media.describe(own).collect()) == sorted([64, 64, -(-len(prose(3, 3000)) // 64) * 64])
+    stored = {r["doc_id"]: bytes(r["media"]) for r in written[0].collect()}
+    got = media.pcm_blocks(own).collect()
+    for i, text in ((5, prose(3, 3000).encode()), (6, b""), (7, b"")):
+        rows = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["first_sample"])
+        assert b"".join(r["block"] for r in rows) == flac.decode([stored[i]])[0] == text + bytes(-len(text) % 64 if text else 64)
+        for r in rows:
+            assert flac.seek(stored[i], r["first_sample"], r["n_samples"]) == r["block"] and stored[i][r["media_offset"]] == 0xFF
+    assert len(written) == 2
+
+
 def test_warc(spark):
     rows = [(1, "http://a/x", "same"), (5, "http://b/\ny", "same"), (3, None, None), (4, "http://c", ""), (7, "http://d", "ünique"), (7, "http://d", "ünique"), (None, "http://e", "same")]
     got = {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in warc.digests(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
