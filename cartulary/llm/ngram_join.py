@@ -324,7 +324,7 @@ def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
     texts without words, have the empty set and are linked with nothing, not even
     each other.  Repeated rows are returned as often as they occur.  An empty table
     gives no rows; other columns of docs are ignored.  component_id is the smallest
-    doc_id that links reach; links are exact on 64-bit hashes of the n-grams.
+    doc_id that links reach, null if they reach null only; links are exact on 64-bit hashes of the n-grams.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "ngram-join")
@@ -345,7 +345,9 @@ def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
 
     wanted = work.table("wanted", star.select(F.col("a").alias("node")).union(star.select("b")).distinct().join(nodes, "node").select("doc_id"))
     kept = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = work.table("sets", _sets(docs.select("doc_id", "text").join(kept, "doc_id", "left_semi"), words))
+    read = docs.select("doc_id", "text")
+    # A set may have no other id than null.
+    sets = work.table("sets", _sets(read.join(kept, read["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi"), words))
 
     def linked_of(found: DataFrame, turn: int) -> DataFrame | None:
         """The links among pairs; None if there are none."""

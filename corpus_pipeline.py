@@ -21,9 +21,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id stays."""
-    groups = ngram_join.join(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").select(docs.columns)
+    """Of each group of near duplicates one row stays: that of the smallest doc_id, null last, and the first of equal ones.
+
+    Rows are told apart by a number of their own, so repeated rows of one doc_id are
+    copies of each other, and rows without a doc_id stay unless they have a partner.
+    Texts without words have no partner: all their rows stay.
+    """
+    rows = Workspace(spark, "first-copy").table("rows", docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = ngram_join.join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

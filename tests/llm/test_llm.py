@@ -55,6 +55,25 @@ def test_ngram_join_is_exact(spark, docs):
     assert sorted(got) == sorted((r["doc_id"], len(sets[r["doc_id"]]), label[r["doc_id"]]) for r in docs.collect())
 
 
+def test_ngram_join_links_sets_without_id(spark):
+    base = prose(1, 60).split()
+    near = " ".join(["changed"] + base[1:])
+    docs = spark.createDataFrame([(3, " ".join(base)), (None, near), (None, prose(6, 60))], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.join(docs).collect()), key=repr)
+    assert got == [(3, 3), (None, 3), (None, None)]
+
+
+def test_first_copy_keeps_one_row_and_clean_rows_without_id(spark):
+    import corpus_pipeline
+
+    base = prose(1, 60).split()
+    near = [" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in (1, 58)]
+    rows = [(7, " ".join(base)), (7, " ".join(base)), (None, near[0]), (None, prose(4, 60)), (None, None), (8, prose(5, 60)), (3, near[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, corpus_pipeline.keep_first_copy(spark, docs, "").collect()), key=repr)
+    assert got == sorted([rows[3], rows[4], rows[5], rows[6]], key=repr)
+
+
 def test_subwords_equal_the_tokenizer():
     odd = ["", " ", "a  b  c  \n x\x1c y", "<|endoftext|> hi", "  lead", "trail  ", "x　\t z's 're", "   ", "\n\n a \r\n b"]
     encoder = subword.Subwords.of(BPE)
