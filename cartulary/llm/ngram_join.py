@@ -12,15 +12,14 @@ similarity allows has no partner and is dropped before any set is moved.  Of two
 partners, the one that is not larger has even fewer mismatches; n-grams that no
 such core set shows are mismatches too.
 
-Within blocks no list of all pairs is made.  First every set is tested against
-one hub of each of its blocks, which joins groups of near copies in one step.
-Sets that blocks connect are a cluster; all links lie within clusters.  Clusters
-whose sets lie in different components are searched with an R-tree over count
-vectors (see rtree.py): sets of the query's own component are passed over, the
-others are bounded by summed coordinate minima, first over few groups, then over
-some eight groups for each element, and survivors are verified on their whole
-sets.  Large clusters are dealt out as pairs of bounded tiles by size
-band.  This repeats until no untested pair passes the bound.
+Sets that blocks connect are a cluster; all links lie within clusters.  An R-tree
+over count vectors (see rtree.py) finds the pairs of a cluster whose summed
+coordinate minima allow the similarity, and each of them is verified on the whole
+sets where it was found; only each set's number of links and the edges of a
+spanning forest leave the task.  A cluster of more sets or elements than a tile is
+dealt out as pairs of tiles, by size and by least element.  There the trees are
+searched with the count vectors alone first, and only sets with a candidate are
+sent, whole, to be verified.
 """
 
 from __future__ import annotations
@@ -38,7 +37,6 @@ from cartulary.llm.workspace import Workspace
 
 WORDS = 5
 PERCENT = 80
-GROUPS = 256
 #: The share of all n-grams that is shown, those of the lowest hashes.
 SHOWN = 0.28
 #: Parts over which the sets of a common n-gram are dealt.
@@ -47,12 +45,11 @@ SPREAD = 64
 COMMON_COPIES = 4
 COMMON_WINDOW = 1 << 21
 COMMON_MOST = 100_000
-#: Sets in a tile of a block.
-TILE = 2048
+#: Sets in a tile of a large cluster, and elements of the sets that are verified together, in expectation; a larger set is alone.
+TILE = 1024
+ELEMENTS = 1 << 20
 #: Ids that are broadcast at most; beyond, texts are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Rounds in which a set is tested against only the closest of each other component; then against all.
-CLOSEST_ROUNDS = 1
 
 _STEPS = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -207,124 +204,107 @@ def _packed(counts: np.ndarray) -> bytes:
 
 def _unpacked(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A row of counts for each value of _packed."""
-    rows = [np.frombuffer(x, f"<u{len(x) // GROUPS}") for x in column.to_pylist()]
-    return np.array(rows, np.uint32).reshape(-1, GROUPS)
-
-
-def _marks(own: np.ndarray) -> bytes:
-    """The fine count vector: a bit for each of some 8 to 16 groups an element, set if its count is not 0."""
-    bits = np.zeros(8 << max(0, len(own) - 1).bit_length(), np.uint8)
-    bits[((own >> np.uint64(8)) & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def most_shared(n_x: int, marks_x: bytes, n_y: int, marks_y: bytes) -> int:
-    """An upper bound of two sets' overlap from their fine count vectors.
-
-    The smaller of two counts is at most the smaller of both cut at one and what
-    the cut took; over all groups, the cut took a set's size less its bits.
-    """
-    x, y = np.frombuffer(marks_x, np.uint8), np.frombuffer(marks_y, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    bits = [int(np.bitwise_count(z).sum(dtype=np.int64)) for z in (x, y, x & y)]
-    return bits[2] + min(n_x - bits[0], n_y - bits[1])
+    rows = [np.frombuffer(x, f"<u{len(x) // rtree.GROUPS}") for x in column.to_pylist()]
+    return np.array(rows, np.int32).reshape(-1, rtree.GROUPS)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, size, counts, fine counts and elements of the documents' sets."""
+    """node, size, least element, counts and elements of the documents' sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "n", "least", "counts", "elements"]
         for batch in batches:
             for chunk in textbuf.chunks(batch.column(0)):
-                rows = [(fingerprint(own), len(own), _packed(np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)), _marks(own), own.tobytes()) for own in ngram_sets(chunk, words)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("node", "n", "counts", "marks", "elements"), r)) for r in rows], pa.schema([("node", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("marks", pa.binary()), ("elements", pa.binary())]))
-
-    return docs.select("text").mapInArrow(scan, "node long, n long, counts binary, marks binary, elements binary")
+                sets = [own for own in ngram_sets(chunk, words) if len(own)]
+                columns = [pa.array([fingerprint(x) for x in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([int(x[0].view(np.int64)) for x in sets], pa.int64())]
+                counts = [_packed(rtree.counts_of(x, np.array([len(x)]))) for x in sets]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names)
 
+    return docs.select("text").mapInArrow(scan, "node long, n long, least long, counts binary, elements binary")
 
-def _used(pairs: DataFrame, sets: DataFrame, n_pairs: int) -> DataFrame:
-    """The sets that the pairs name: where the pairs are few, others are dropped before the shuffle."""
-    if 2 * n_pairs > BROADCAST_ROWS:
-        return sets
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    return sets.join(F.broadcast(named), "node", "left_semi")
 
+def _tiles(large: DataFrame, percent: int) -> DataFrame:
+    """(meet, first, node, n, copies) for all pairs of tiles of a cluster that may hold partners; in a tile's meeting with itself first is null.
 
-def _bounded(pairs: DataFrame, sets: DataFrame, percent: int, n_pairs: int) -> DataFrame:
-    """Pairs whose fine count vectors allow the overlap."""
-    points = _used(pairs, sets.select("node", "n", "marks"), n_pairs)
-    a, b = (points.toDF(x, f"n_{x}", f"marks_{x}") for x in "ab")
+    Tiles are bands of sizes; bands of many sets are dealt by least element, which near copies mostly share.
+    """
+    rows = large.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"))
+    parts = rows.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / ELEMENTS)).cast("int").alias("parts"))
+    rows = rows.join(parts, ["cluster", "band"]).withColumn("tile", F.struct("band", F.pmod(F.xxhash64("least"), F.col("parts")).cast("int").alias("part")))
+    tiles = rows.groupBy("cluster", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = tiles.select("cluster", F.col("tile").alias("tile2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    # Tiles meet if any two of their sizes may be partners.
+    meet = tiles.join(other, "cluster").where(f"tile <= tile2 and {percent} * low <= 100 * high2 and {percent} * low2 <= 100 * high").select("cluster", "tile", "tile2", F.xxhash64("cluster", "tile", "tile2").alias("meet"))
+    left = rows.join(meet, ["cluster", "tile"]).select("meet", F.when(F.col("tile") < F.col("tile2"), F.lit(True)).alias("first"), "node", "n", "copies")
+    right = rows.withColumnRenamed("tile", "tile2").join(meet.where("tile < tile2"), ["cluster", "tile2"]).select("meet", F.lit(False).alias("first"), "node", "n", "copies")
+    return left.union(right)
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "marks_a", "n_b", "marks_b")))
-            fits = [(100 + percent) * most_shared(*r) >= percent * (r[0] + r[2]) for r in rows]
-            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "marks_a", "marks_b").mapInArrow(test, "a long, b long")
+def _sides(first: pa.ChunkedArray | pa.Array) -> np.ndarray | None:
+    """Which rows are on the first side of a meeting; None in a tile's meeting with itself."""
+    side = first.to_numpy(zero_copy_only=False) if isinstance(first, pa.Array) else first.to_numpy()
+    return None if not len(side) or side[0] is None else side.astype(bool)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, n_pairs: int) -> DataFrame:
-    """Pairs whose whole sets have the similarity."""
-    whole = _used(pairs, sets.select("node", "elements"), n_pairs)
-    a, b = (whole.toDF(x, f"set_{x}") for x in "ab")
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fits = []
-            for p, q in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                shared = int((y[at] == x).sum())
-                fits.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(test, "a long, b long")
-
-
-def _searched(clusters: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Pairs of different components of a cluster that pass the bound, each once, from R-trees over tiles of the clusters."""
-    points = sets.select("node", "n", "counts").dropDuplicates(["node"])
-    labelled = clusters.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # A cluster of two was tested whole with its hub.
-    mixed = labelled.groupBy("cluster").agg(F.count("*").alias("n_sets"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("n_sets > 2 and l0 <> l1")
-    rows = labelled.join(mixed.select("cluster", "n_sets"), "cluster").join(points.select("node", "n"), "node")
-    # Large clusters are cut by size into bands, and bands of many sets by hash.
-    rows = rows.withColumn("band", F.when(F.col("n_sets") > TILE, F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))).otherwise(0).cast("int"))
-    parts = rows.groupBy("cluster", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    rows = rows.join(parts, ["cluster", "band"]).withColumn("tile", F.struct("band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
-    tiles = rows.groupBy("cluster", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = tiles.select("cluster", F.col("tile").alias("tile2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    # Tiles meet if any two of their sizes may be partners.
-    meet = tiles.join(other, "cluster").where(f"tile <= tile2 and {percent} * low <= 100 * high2 and {percent} * low2 <= 100 * high").select("cluster", "tile", "tile2")
-    left = rows.join(meet, ["cluster", "tile"]).select("cluster", "tile", "tile2", F.lit(True).alias("first"), "node", "n", "label")
-    right = rows.withColumnRenamed("tile", "tile2").join(meet.where("tile < tile2"), ["cluster", "tile2"]).select("cluster", "tile", "tile2", F.lit(False).alias("first"), "node", "n", "label")
+def _candidate_blocks(meets: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(block, first, node, n, copies): the sets of each meeting that have a candidate, in blocks that candidates connect."""
 
     def search(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        counts = _unpacked(rows["counts"]).astype(np.int64)
-        node, n, label, first = (rows[c].to_numpy() for c in ("node", "n", "label", "first"))
-        i, j = rtree.pairs(n, counts, label, percent, closest, None if first.all() else first)
-        return pa.table({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j])})
+        side = _sides(rows["first"])
+        tree = rtree.CountTree(rows["n"].to_numpy(), _unpacked(rows["counts"]), side)
+        forest = rtree.Forest(rows.num_rows)
+        for i, near in tree.candidates(percent):
+            forest.link(i, near)
+        held = np.bincount(forest.root, minlength=rows.num_rows)[forest.root] > 1
+        meet = rows["meet"].to_numpy()
+        block = textbuf.mix64(meet.view(np.uint64) + textbuf.mix64(forest.root.astype(np.uint64))).view(np.int64)
+        return pa.table({"block": block} | {c: rows[c] for c in ("first", "node", "n", "copies")}).filter(pa.array(held))
 
     # The vectors join last: they are the widest column.
-    both = left.union(right).join(points.select("node", "counts"), "node").select("cluster", F.xxhash64("tile", "tile2").alias("meet"), "first", "node", "n", "label", "counts")
-    return both.groupBy("cluster", "meet").applyInArrow(search, "a long, b long").distinct()
+    return meets.join(points.select("node", "counts"), "node").groupBy("meet").applyInArrow(search, "block long, first boolean, node long, n long, copies long")
+
+
+def _linked(blocks: DataFrame, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """The verified links of blocks: a row (node, node, documents linked to) of each set with a link, and rows (a, b, 0) that join all that is linked."""
+
+    def verify(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        block, node, n, copies = (rows[c].to_numpy() for c in ("block", "node", "n", "copies"))
+        raw, first = rows["elements"], rows["first"]
+        order = np.lexsort([node, block])
+        cuts = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1], [True]]))
+        a, b, links = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = order[x:y]
+            own = own[np.concatenate([[True], node[own][1:] != node[own][:-1]])]  # repeated documents give repeated sets
+            elements = np.frombuffer(b"".join(raw[int(i)].as_py() for i in own), np.uint64)
+            forest, degree = rtree.Forest(len(own)), np.zeros(len(own), np.int64)
+            for i, near in rtree.verified(elements, n[own], percent, _sides(first.take(pa.array(own)))):
+                degree[i] += copies[own[near]].sum()
+                degree[near] += copies[own[i]]
+                forest.link(i, near)
+            met = np.flatnonzero(degree)
+            a += [node[own[met]], *(node[own[[i]]] for i, _ in forest.edges)]
+            b += [node[own[met]], *(node[own[[j]]] for _, j in forest.edges)]
+            links += [degree[met], np.zeros(len(forest.edges), np.int64)]
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "links": np.concatenate(links)})
+
+    whole = blocks.join(sets.select("node", "elements"), "node").withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)))
+    return whole.groupBy("bucket").applyInArrow(verify, "a long, b long, links long")
 
 
 def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id.
+    """A row per document: doc_id, n_shingles, component_id, n_links.
 
     Words are [^\\x20\\x09-\\x0D]+ after A-Z became a-z.  A set holds the distinct
     n-grams; with fewer words, the whole sequence as one.  Null or empty texts, and
     texts without words, have the empty set and are linked with nothing, not even
     each other.  Repeated rows are returned as often as they occur.  An empty table
     gives no rows; other columns of docs are ignored.  component_id is the smallest
-    doc_id that links reach, null if they reach null only; links are exact on 64-bit hashes of the n-grams.
+    doc_id that links reach, null if they reach null only; n_links is the number of
+    other rows that a row is linked with, copies included.  Links are exact on
+    64-bit hashes of the n-grams.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "ngram-join")
@@ -333,7 +313,7 @@ def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
     often = scanned.where("common").groupBy("key").agg(F.sum("value").alias("copies")).orderBy(F.desc("copies"), "key").limit(COMMON_MOST)
     common = np.array(sorted(np.array([r[0] for r in often.select("key").collect()], np.int64).view(np.uint64)), np.uint64)
 
-    nodes = documents.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = documents.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     shown = work.table("shown", _members(_prefixes(docs, common, words, percent)))
     shared = shown.groupBy("node").agg(F.sum(F.col("need") % 2).alias("shared"), F.max(F.floor(F.col("need") / 2)).alias("need"), F.max("core").alias("core"))
     alive = shared.where("shared >= need").select("node", (F.col("shared") >= F.col("core")).alias("is_core"))
@@ -342,44 +322,29 @@ def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
     blocks = left.groupBy("gram").agg(F.min(F.when(F.col("is_core"), F.col("node"))).alias("hub"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last and hub is not null").select("gram", "hub")
     star = work.table("star", left.join(blocks, "gram").where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
     work.drop("shown")
+    clusters = components(work, star, "clusters").withColumnRenamed("label", "cluster")
+    clustered = work.table("clustered", clusters.join(nodes, "node"))
 
-    wanted = work.table("wanted", star.select(F.col("a").alias("node")).union(star.select("b")).distinct().join(nodes, "node").select("doc_id"))
-    kept = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     read = docs.select("doc_id", "text")
+    wanted = clustered.select("doc_id")
+    kept = F.broadcast(wanted) if clustered.count() <= BROADCAST_ROWS else wanted
     # A set may have no other id than null.
     sets = work.table("sets", _sets(read.join(kept, read["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi"), words))
 
-    def linked_of(found: DataFrame, turn: int) -> DataFrame | None:
-        """The links among pairs; None if there are none."""
-        bounded = work.table(f"bounded-{turn}", _bounded(found, sets, percent, found.count()))
-        if not (n_pairs := bounded.count()):
-            return None
-        new = work.table(f"links-{turn}", _verified(bounded, sets, percent, n_pairs).distinct())
-        return new if new.limit(1).count() else None
-
-    tested, links = star, linked_of(star, 0)
-    if links is None:
-        links = star.limit(0)
-    labels = components(work, links, "labels-0")
-    clusters = components(work, star, "clusters").withColumnRenamed("label", "cluster")
-    turn = 0
-    while True:
-        turn += 1
-        found = _searched(clusters, labels, sets, percent, turn <= CLOSEST_ROUNDS)
-        found = work.table(f"tested-{turn}", found.join(tested, ["a", "b"], "left_anti"))
-        if not found.limit(1).count():
-            if turn <= CLOSEST_ROUNDS:
-                turn = CLOSEST_ROUNDS
-                continue
-            break
-        tested = tested.union(found)
-        if (new := linked_of(found, turn)) is not None:
-            links = links.union(new)
-            labels = components(work, links, f"labels-{turn}")
-        elif turn > CLOSEST_ROUNDS:
-            break
+    points = sets.select("node", "n", "least", "counts").dropDuplicates(["node"])
+    rows = clustered.select("node", "cluster", "copies").join(points.select("node", "n", "least"), "node")
+    sizes = rows.groupBy("cluster").agg((F.count("*") > TILE).alias("many"), (F.sum("n") > ELEMENTS).alias("long"))
+    rows = work.table("rows", rows.join(sizes, "cluster"))
+    found = work.table("found", _candidate_blocks(_tiles(rows.where("many or long"), percent), points, percent))
+    blocks = rows.where("not (many or long)").select(F.col("cluster").alias("block"), F.lit(None).cast("boolean").alias("first"), "node", "n", "copies").union(found)
+    elements = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    links = work.table("links", _linked(blocks, sets, percent, max(1, elements // ELEMENTS)))
+
+    degree = links.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
+    labels = components(work, links.where("a <> b"), "labels")
     least = nodes.join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    classes = nodes.join(labels, "node", "left").join(least, "label", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    linked = documents.where("n > 0").join(classes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = documents.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.union(alone)
+    linked = labels.join(least, "label").select("node", "component_id").join(degree, "node")
+    classes = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    own = documents.where("n > 0").join(classes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    alone = documents.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return own.union(alone)

@@ -7,62 +7,42 @@ sum under the overlap that is needed holds no partner.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
+GROUPS = 256
 FANOUT = 16
-#: Sets that are one leaf: compared in one step, without inner nodes.
-LEAF = 32
-
-
-def _leaf(sizes: np.ndarray, counts: np.ndarray, kin: np.ndarray, percent: int, closest: bool, left: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """joined() of a few sets."""
-    i, j = np.triu_indices(len(sizes), 1)
-    fits = (kin[i] != kin[j]) & (100 * np.maximum(sizes[i], sizes[j]) * percent <= 10000 * np.minimum(sizes[i], sizes[j]))
-    if left is not None:
-        fits &= left[i] != left[j]
-    i, j = i[fits], j[fits]
-    shared = np.minimum(counts[i], counts[j]).sum(axis=1)
-    fits = (100 + percent) * shared >= percent * (sizes[i] + sizes[j])
-    i, j, shared = i[fits], j[fits], shared[fits] / (sizes[i] + sizes[j])[fits]
-    if closest and len(i) > 1:
-        order = np.lexsort([-shared, kin[j], i])
-        i, j = i[order], j[order]
-        first = np.concatenate([[True], (i[1:] != i[:-1]) | (kin[j][1:] != kin[j][:-1])])
-        i, j = i[first], j[first]
-    return i, j
-
-
-def pairs(sizes: np.ndarray, counts: np.ndarray, kin: np.ndarray, percent: int, closest: bool, left: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """CountTree.joined(), for any number of sets."""
-    if len(sizes) <= LEAF:
-        return _leaf(sizes, counts, kin, percent, closest, left)
-    return CountTree(sizes, counts, kin).joined(percent, closest, left)
+
+
+def counts_of(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of counts for each of some sets whose elements are strung together."""
+    at = np.repeat(np.arange(len(sizes)), sizes) * GROUPS + (elements & np.uint64(GROUPS - 1)).astype(np.int64)
+    return np.bincount(at, minlength=len(sizes) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
 
 
 class CountTree:
-    """sizes: elements of each set; counts: a row per set; kin: sets of equal kin need not be found for each other."""
+    """sizes: elements of each set, none empty; counts: a row per set.  left: where given, pairs have one row in it and one not."""
 
-    def __init__(self, sizes: np.ndarray, counts: np.ndarray, kin: np.ndarray):
-        spread = counts.std(axis=0) if len(counts) else np.empty(0)
+    def __init__(self, sizes: np.ndarray, counts: np.ndarray, left: np.ndarray | None = None):
+        spread = counts.std(axis=0)
         widest = np.argsort(-spread)[:2]
-        order = np.lexsort([*(counts[:, k] // max(1, int(spread[k])) for k in widest), sizes, kin])
-        self.order, self.sizes, self.counts, self.kin = order, sizes[order], counts[order], kin[order]
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        corner, low, high, one = self.counts, self.sizes, self.sizes, self.kin
+        order = np.lexsort([*(counts[:, k] // max(1, int(spread[k])) for k in widest), sizes])
+        self.order, self.sizes, self.counts = order, sizes[order], counts[order]
+        self.left = None if left is None else left[order]
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        corner, low, high = self.counts, self.sizes, self.sizes
         while len(low) > FANOUT:
             at = np.arange(0, len(low), FANOUT)
-            first, last = np.minimum.reduceat(one, at), np.maximum.reduceat(one, at)
             corner, low, high = np.maximum.reduceat(corner, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
-            one = np.where(first == last, first, np.iinfo(np.int64).min)
-            self.levels.append((corner, low, high, one))
+            self.levels.append((corner, low, high))
 
-    def partners(self, size: int, count: np.ndarray, kin: int, percent: int) -> np.ndarray:
-        """Positions of sets that may reach the percentage of the union with this one."""
+    def partners(self, size: int, count: np.ndarray, percent: int) -> np.ndarray:
+        """Positions, in the tree's order, of sets that may reach the percentage of the union with this one."""
         nodes = np.arange(len(self.levels[-1][1]) if self.levels else len(self.sizes))
-        for corner, low, high, one in [*reversed(self.levels), (self.counts, self.sizes, self.sizes, self.kin)]:
+        for corner, low, high in [*reversed(self.levels), (self.counts, self.sizes, self.sizes)]:
             nodes = nodes[nodes < len(low)]
-            fits = (one[nodes] != kin) & (100 * high[nodes] >= percent * size) & (percent * low[nodes] <= 100 * size)
-            nodes = nodes[fits]
+            nodes = nodes[(100 * high[nodes] >= percent * size) & (percent * low[nodes] <= 100 * size)]
             least = np.maximum(low[nodes], -(-percent * size // 100))
             shared = np.minimum(corner[nodes], count).sum(axis=1)
             nodes = nodes[(100 + percent) * shared >= percent * (size + least)]
@@ -70,19 +50,46 @@ class CountTree:
                 nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
         return nodes
 
-    def joined(self, percent: int, closest: bool, left: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of row numbers that may be similar, each once.  closest: for each set only the best of each kin.  left: where given, pairs of one row in it and one not. """
-        a, b = [], []
+    def candidates(self, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row the rows that may be similar to it, by row numbers; each pair once."""
         for i in range(len(self.order)):
-            if left is not None and not left[self.order[i]]:
+            if self.left is not None and not self.left[i]:
                 continue
-            near = self.partners(int(self.sizes[i]), self.counts[i], int(self.kin[i]), percent)
-            near = near[~left[self.order[near]]] if left is not None else near[near > i]
-            if closest and len(near) > 1:
-                shared = np.minimum(self.counts[near], self.counts[i]).sum(axis=1) / (self.sizes[near] + self.sizes[i])
-                near = near[np.lexsort([-shared, self.kin[near]])]
-                near = near[np.unique(self.kin[near], return_index=True)[1]]
-            a.append(np.full(len(near), self.order[i]))
-            b.append(self.order[near])
-        none = np.empty(0, np.int64)
-        return np.concatenate([none, *a]), np.concatenate([none, *b])
+            near = self.partners(int(self.sizes[i]), self.counts[i], percent)
+            near = near[~self.left[near]] if self.left is not None else near[near > i]
+            if len(near):
+                yield int(self.order[i]), self.order[near]
+
+
+class Forest:
+    """Trees of linked rows; the edges that joined two trees are kept."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+
+    def link(self, i: int, others: np.ndarray) -> None:
+        own = self.root[i]
+        apart = others[self.root[others] != own]
+        if len(apart):
+            roots, first = np.unique(self.root[apart], return_index=True)
+            self.edges += [(i, int(apart[k])) for k in first]
+            self.root[np.isin(self.root, roots)] = own
+
+
+def verified(elements: np.ndarray, sizes: np.ndarray, percent: int, left: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set the sets that reach the percentage of the union with it, each pair once: found by the tree, tested on all elements."""
+    tree = CountTree(sizes, counts_of(elements, sizes), left)
+    values, number = np.unique(elements, return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    mark = np.zeros(len(values), bool)
+    for i, near in tree.candidates(percent):
+        mark[number[at[i] : at[i + 1]]] = True
+        n = sizes[near]
+        begin = np.cumsum(n) - n
+        flat = np.repeat(at[near] - begin, n) + np.arange(int(n.sum()))
+        shared = np.add.reduceat(mark[number[flat]], begin, dtype=np.int64)
+        mark[number[at[i] : at[i + 1]]] = False
+        near = near[100 * shared >= percent * (n + sizes[i] - shared)]
+        if len(near):
+            yield i, near

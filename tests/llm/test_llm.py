@@ -42,17 +42,41 @@ def ngrams(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def test_ngram_join_is_exact(spark, docs):
-    sets = {r["doc_id"]: ngrams(r["text"]) for r in docs.collect()}
-    label = {d: d for d in sets}
+def brute_join(rows):
+    """(doc_id, n_shingles, component_id, n_links) of rows (doc_id, text) with distinct ids, and repeated rows."""
+    sets = [(d, ngrams(t)) for d, t in rows]
+    label, links = {d: d for d, _ in sets}, [0] * len(sets)
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i][1] and 100 * len(sets[i][1] & sets[j][1]) >= 80 * len(sets[i][1] | sets[j][1])]
+    for i, j in linked:
+        links[i] += 1
+        links[j] += 1
     for _ in sets:
-        for a in sets:
-            for b in sets:
-                both = len(sets[a] & sets[b])
-                if sets[a] and 100 * both >= 80 * len(sets[a] | sets[b]):
-                    label[a] = label[b] = min(label[a], label[b])
+        for i, j in linked:
+            a, b = sets[i][0], sets[j][0]
+            label[a] = label[b] = min(label[a], label[b])
+    return sorted((d, len(s), label[d], n) for (d, s), n in zip(sets, links))
+
+
+def test_ngram_join_is_exact(spark, docs):
     got = [tuple(r) for r in ngram_join.join(docs).collect()]
-    assert sorted(got) == sorted((r["doc_id"], len(sets[r["doc_id"]]), label[r["doc_id"]]) for r in docs.collect())
+    assert sorted(got) == brute_join([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_ngram_join_counts_links_across_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 6)
+    rng = np.random.default_rng(5)
+    rows, passage = [], prose(9, 25)
+    for k in range(6):  # groups of near copies of several sizes, and texts that share a passage
+        base = prose(20 + k, 30 + 12 * k).split()
+        for _ in range(12):
+            own = list(base)
+            for at in rng.integers(0, len(own), rng.integers(0, 3)):
+                own[at] = f"x{rng.integers(1000)}"
+            rows.append(" ".join(own))
+    rows += [prose(40 + k, 8) + " " + passage for k in range(14)] + [passage] * 3
+    rows = list(enumerate(rows))
+    got = [tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == brute_join(rows)
 
 
 def test_ngram_join_links_sets_without_id(spark):
