@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartulary.llm import textbuf
+from cartulary.llm.workspace import lean
 
 PROFILE = 300
 UNKNOWN = "und"
@@ -91,6 +92,7 @@ def _counted(seq: np.ndarray) -> tuple[list[str], np.ndarray]:
 def gram_counts(labelled: DataFrame) -> DataFrame:
     """(lang, gram, n): partial counts of all n-grams of the texts of each language."""
 
+    @textbuf.frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
         size: dict[str, int] = {}
@@ -178,9 +180,10 @@ def identify(docs: DataFrame, *, length: int = PROFILE) -> DataFrame:
     A null doc_id counts as an empty text for the remainder.  Whole texts count;
     an empty table gives no rows; other columns are never used.
     """
-    marked = docs.select("doc_id", "text", "lang", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1).alias("held_out"))
+    marked = lean(docs).select("doc_id", "text", "lang", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1).alias("held_out"))
     learned = profiles(marked.where("not held_out"), length)
 
+    @textbuf.frugal
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(learned, length)
         for batch in batches:

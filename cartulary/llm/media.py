@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm import flac, textbuf
-from cartulary.llm.workspace import Workspace
+from cartulary.llm.workspace import Workspace, lean
 
 UNIT = 64
 #: Payload bytes that are coded together; a longer text is coded alone.
@@ -22,6 +22,7 @@ CHUNK_BYTES = 1 << 21
 def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: the text's UTF-8 bytes, padded with zeros to a positive multiple of UNIT, as a FLAC stream."""
 
+    @textbuf.frugal
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in textbuf.chunks(batch.column(1), CHUNK_BYTES):
@@ -43,6 +44,7 @@ def feature(payload: bytes) -> str:
 def described(media: DataFrame) -> DataFrame:
     """Decodes the stored bytes, verifies all their checksums, and describes payload and stored form."""
 
+    @textbuf.frugal
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for batch in batches:
@@ -64,6 +66,7 @@ def blocks(media: DataFrame) -> DataFrame:
     the frame begins at byte media_offset of the stream.  All checksums are verified.
     """
 
+    @textbuf.frugal
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in textbuf.chunks(batch.column(2), CHUNK_BYTES):
@@ -81,7 +84,7 @@ def blocks(media: DataFrame) -> DataFrame:
 
 def _reread(docs: DataFrame) -> DataFrame:
     """stored(), written to the shared folder and read back."""
-    return Workspace(docs.sparkSession, "media").table("stored", stored(docs))
+    return Workspace(docs.sparkSession, "media").table("stored", stored(lean(docs)))
 
 
 def describe(docs: DataFrame) -> DataFrame:

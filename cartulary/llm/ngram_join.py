@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cartulary.llm import rtree, textbuf
 from cartulary.llm.components import components
-from cartulary.llm.workspace import Workspace
+from cartulary.llm.workspace import Workspace, lean
 
 WORDS = 5
 PERCENT = 80
@@ -115,6 +115,7 @@ def _shown(own: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarra
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
     """Two kinds of rows: (false, doc_id, fingerprint, size) of each document, and (true, n-gram, copies, 0) of what a task sees often."""
 
+    @textbuf.frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["common", "key", "value", "n"]
         seen: set[int] = set()
@@ -147,6 +148,7 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
 def _prefixes(docs: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
     """(gram, node, need, core, part) of the n-grams that are shown; need holds twice what _shown says must be shared, and 1 more if the row counts for that; core what a set shares that has a partner not smaller than itself; part deals out common n-grams and is 0 for others.  A set that a task has met before is passed over."""
 
+    @textbuf.frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -171,6 +173,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, words: int, percent: int) ->
 def _members(prefixes: DataFrame) -> DataFrame:
     """(gram, node, need, core), each once, of the n-grams that several sets show, or that are common.  A stream over sorted rows: one row is held back."""
 
+    @textbuf.frugal
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "node", "need", "core"]
         held, held_shared = None, False
@@ -211,6 +214,7 @@ def _unpacked(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """node, size, least element, counts and elements of the documents' sets."""
 
+    @textbuf.frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["node", "n", "least", "counts", "elements"]
         for batch in batches:
@@ -306,6 +310,7 @@ def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
     other rows that a row is linked with, copies included.  Links are exact on
     64-bit hashes of the n-grams.
     """
+    docs = lean(docs)
     spark = docs.sparkSession
     work = Workspace(spark, "ngram-join")
     scanned = work.table("signatures", _signatures(docs, words))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartulary.llm import subword, textbuf
-from cartulary.llm.workspace import Workspace
+from cartulary.llm.workspace import Workspace, lean
 
 WINDOW = 2048
 END_ID = 1
@@ -43,6 +43,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """A row per document: its ids with the end id as little-endian integers, and where its tokens begin among those of its source in its task."""
 
+    @textbuf.frugal
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -105,6 +106,7 @@ def _window_of(token: np.ndarray, low: np.ndarray, high: np.ndarray, total: np.n
 def cut(placed: DataFrame, window: int) -> DataFrame:
     """Pieces of documents whose queue offsets are known."""
 
+    @textbuf.frugal
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -145,7 +147,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str, window: int = WINDOW, end_id:
     table, so a lost executor repeats only its own reads.
     """
     work = Workspace(docs.sparkSession, "pack")
-    tokens = work.table("tokens", tokenised(docs, tokenizer_path, end_id))
+    tokens = work.table("tokens", tokenised(lean(docs), tokenizer_path, end_id))
     offsets = work.table("queues", queues(tokens, window))
     if offsets.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)

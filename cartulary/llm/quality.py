@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm import textbuf
+from cartulary.llm.workspace import lean
 
 NONE, BAD, GOOD = 0, 1, 2
 #: Documents, by hash of doc_id, on which the scorer is fitted.
@@ -154,6 +155,7 @@ def fit_scorer(x: np.ndarray, p: np.ndarray, rounds: int = 300) -> np.ndarray:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
+    @textbuf.frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
         for batch in batches:
@@ -174,6 +176,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray
     rate = min(1.0, sample / max(1.0, n.sum()))
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(np.ceil(rate * (1 << 20)))).select("text").limit(2 * sample)
 
+    @textbuf.frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in textbuf.chunks(batch.column(0)):
@@ -181,6 +184,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray
                 x = features(chunk, pattern).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array([r.tobytes() for r in x], pa.binary())], ["pattern", "x"])
 
+    @textbuf.frugal
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, parts = [np.empty(0, np.int64)], [np.empty((0, BUCKETS + 3 * len(HEURISTICS)), np.float32)]
         for batch in batches:
@@ -201,6 +205,7 @@ def judge(docs: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD
     judged by the scorer, whole.  Rows with equal texts get equal values; an empty
     table gives no rows.  Columns of docs named like the new ones are replaced.
     """
+    docs = lean(docs)
     model, weights = train(docs, sample)
     extra = ("posterior", "quality", "keep")
     base = docs.select([c for c in docs.columns if c not in extra])
@@ -208,6 +213,7 @@ def judge(docs: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD
     names = base.columns
     at = names.index("text")
 
+    @textbuf.frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in textbuf.chunks(batch.column(at)):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cartulary.llm import textbuf
 from cartulary.llm.trees import Forest
+from cartulary.llm.workspace import lean
 
 THRESHOLD = 0.5
 #: Letters in a run that is a candidate without a telling word before it.
@@ -105,6 +106,7 @@ def features(value: bytes, before: bytes, after: bytes, path: str, transitions:
 def transition_costs(docs: DataFrame) -> np.ndarray:
     """Minus the log2 probability of each byte after each other, from all texts."""
 
+    @textbuf.frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
@@ -173,9 +175,11 @@ def scan(docs: DataFrame, *, labelled: list | None = None, threshold: float = TH
     candidates, a null source is an empty path; whole texts are scanned, also very
     long ones; repeated rows give repeated findings; an empty table gives none.
     """
+    docs = lean(docs)
     transitions = transition_costs(docs)
     forest = train(transitions, example_findings() if labelled is None else labelled)
 
+    @textbuf.frugal
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, paths = batch.column(0), [p or "" for p in batch.column(2).to_pylist()]
@@ -192,11 +196,13 @@ def scan(docs: DataFrame, *, labelled: list | None = None, threshold: float = TH
 
 def redact(docs: DataFrame, *, labelled: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with each secret replaced by a mask, and n_chars to match; all rows and columns stay, null texts stay null."""
+    docs = lean(docs)
     transitions = transition_costs(docs)
     forest = train(transitions, example_findings() if labelled is None else labelled)
     names = docs.columns
     at, source = names.index("text"), names.index("source")
 
+    @textbuf.frugal
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = [p or "" for p in batch.column(source).to_pylist()]

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.llm import textbuf
 from cartulary.llm.trees import Boosted
 
 # The rules of the query.
@@ -95,6 +96,7 @@ def judge(pages: DataFrame, *, rules: tuple = RULES, labelled: DataFrame | None
     if not rows:
         model.base = 1.0
 
+    @textbuf.frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             url, host, path, rule = (batch.column(c).to_pylist() for c in ("url", "host", "path", "rule"))

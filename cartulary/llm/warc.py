@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.workspace import Workspace
+from cartulary.llm import textbuf
+from cartulary.llm.workspace import Workspace, lean
 
 #: Payloads of fewer bytes are always responses.
 LEAST_REVISIT = 0
@@ -85,6 +86,7 @@ def write(pages: DataFrame, work: Workspace, least: int = LEAST_REVISIT) -> Data
     marked = own.join(groups, "sha", "left").withColumn("to", F.when(large & (F.col("page_id") < last), F.col("last")))
     marked = marked.select("page_id", "url", "payload", F.col("to.page_id").alias("to_page"), F.col("to.url").alias("to_url"))
 
+    @textbuf.frugal
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs
 
@@ -141,6 +143,7 @@ def records(manifest: DataFrame, work: Workspace, payloads: bool = False) -> Dat
     """A row per record of the archives.  Digests of responses are computed from the bytes read and must agree with the header."""
     root = work.root
 
+    @textbuf.frugal
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs
 
@@ -172,7 +175,7 @@ def records(manifest: DataFrame, work: Workspace, payloads: bool = False) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
     # Archives are dealt out one by one: there are about as many as tasks that wrote them.
-    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(read, _RECORD)
+    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(read, _RECORD)
 
 
 def transactions(found: DataFrame) -> DataFrame:
@@ -198,7 +201,9 @@ def captures(pages: DataFrame, *, least: int = LEAST_REVISIT, payloads: bool = F
     rows (page_id, url and html) are one capture.  An empty table gives no rows.
     """
     work = Workspace(pages.sparkSession, "warc")
-    return transactions(records(write(pages, work, least), work, payloads))
+    found = records(write(lean(pages), work, least), work, payloads)
+    # Archives are read once where only headers are kept, which are small.
+    return transactions(found if payloads else work.table("records", found))
 
 
 def digests(pages: DataFrame, *, least: int = LEAST_REVISIT) -> DataFrame:

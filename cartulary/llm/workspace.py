@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of whole texts in an Arrow batch.
+LEAN_ROWS = 1000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; where it is unset, a folder of this machine for local masters only."""
@@ -20,6 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """df; where the session has Spark's default of rows in an Arrow batch, it gets LEAN_ROWS: batches of whole texts are large."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key, "10000") == "10000":
+        conf.set(key, str(LEAN_ROWS))
+    return df
+
+
 class Workspace:
     """Named intermediate tables of one run of an operator."""
 
