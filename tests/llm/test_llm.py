@@ -188,22 +188,67 @@ def test_lm_base_equals_brute_force(spark, docs):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
 
 
+def leaked(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect())
+
+
 def test_templates_catch_other_values(spark):
     bench = spark.createDataFrame([(1, "A train leaves at 5 km and then Anna buys 12 apples for 3.50 dollars from Bob in the market today"), (2, "too short"), (3, None)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "Intro here. A train leaves at 7 km and then Maria buys 20 apples for 4,000 euros from Carl in the market today More."), (2, None), (3, ""), (4, "A train leaves at 5 km")], "doc_id long, text string")
-    assert [(r["doc_id"], r["item_id"], r["conflicts"]) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 1, 0)]
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 1)]
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [2, 3, 4]
 
 
 def test_alignments_are_judged_one_by_one(spark):
     fib = "What is the next number in 1, 1, 2, 3, 5, 8, 13, 21, 34, 55?"
     sums = "If each of 4 boxes holds 4 red balls and 4 blue balls how many balls are in all of them"
-    bench = spark.createDataFrame([(1, fib), (2, sums)], "item_id long, text string")
     odd = sums.replace("4", "5", 1).replace("4", "6", 1)
-    docs = spark.createDataFrame([(1, fib), (2, sums + ". Other text. " + odd), (3, odd.split(" how")[0])], "doc_id long, text string")
-    got = [(r["doc_id"], r["item_id"], r["matched"] == r["n_windows"], r["conflicts"]) for r in decontaminate.leaks(docs, bench).collect()]
-    assert sorted(got) == [(1, 1, True, 0), (2, 2, True, 0)]
-    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [3]
+    assert leaked(spark, [fib, sums + ". Other text. " + odd, odd.split(" how")[0]], [fib, sums]) == [(0, 0), (1, 1)]
+
+
+def test_names_where_sentences_begin_and_other_capitals(spark):
+    item = "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"
+    texts = [item.replace("Tom", "Sam").replace("5", "7"), item.upper(), item.lower(), "\"" + item.replace("Tom", "Mary Ann"), "Tom has 5 apples. Sam buys 3 more. How many pears does Ann have?", item.replace("Tom buys", "Sam buys"), "No leak."]
+    assert leaked(spark, texts, [item]) == [(0, 0), (1, 0), (2, 0), (3, 0)]
+
+
+def test_short_items_are_whole_lines_and_tables_of_numbers_are_no_leaks(spark):
+    items = ["What is 2 + 3?", "", "1 2 3 4 5 6 7 8 9 10 11 12", None]
+    texts = ["Quiz\nwhat is 2 + 3\nend", "What is 2 + 4?", "I ask what is 2 + 3?", "9 8 7 6 5 4 3 2 1 0 11 12 13", "so 1 2 3 4 5 6 7 8 9 10 11 12", "Title " * 30000, "1,2," * 30000]
+    assert leaked(spark, texts, items) == [(0, 0), (4, 2)]
+
+
+def test_recall_of_questions_with_other_values(spark):
+    rng, names = np.random.default_rng(3), "Anna Bob Carl Dora Emil Fay Greg Hana Ivan Jane".split()
+    body = [prose(60 + k, 18).split() for k in range(25)]
+
+    def filled(k, seed):
+        r = np.random.default_rng(seed)
+        who, other = r.choice(names, 2, replace=False)
+        a, b = r.choice(900, 2, replace=False) + 100
+        w = [x.rstrip("0123456789") for x in body[k]]
+        return f"{who} " + " ".join(w[:5]) + f" {a} km " + " ".join(w[5:9]) + f" {other} and {a} " + " ".join(w[9:14]) + f" {b}. {who} " + " ".join(w[14:]) + "?"
+
+    items = [filled(k, 100 + k) for k in range(25)]
+    texts = [prose(200 + k, int(rng.integers(0, 40))) + " " + filled(k, 300 + k) + " " + prose(400 + k, 20) for k in range(25)] + [prose(500 + k, 60) for k in range(25)]
+    got = leaked(spark, texts, items)
+    assert set(got) <= {(k, k) for k in range(25)} and len(got) >= 0.9 * 25
+
+
+def test_leaks_equal_sql_on_odd_rows(spark):
+    import duckdb
+
+    item = "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"
+    rows = [(1, item), (1, item), (2, item.replace("5", "9") + " " + item), (None, item), (3, None), (4, "What is 2 + 3?")]
+    bench = [(1, item), (2, "What is 2 + 3?"), (None, item), (3, None), (4, "")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", items)):
+        con.register(name, df.toArrow())
+    got = decontaminate.leaks(docs, items)
+    want = con.execute(f"select {', '.join(got.columns)} from ({decontaminate.sql()})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {(r[0], r[1]) for r in want} == {(1, 1), (2, 1), (4, 2)}
 
 
 def test_secrets_are_masked(spark, docs):
