@@ -63,10 +63,16 @@ def slot_values(text: Column, form: int) -> Column:
     return F.regexp_extract_all(_plain(text), F.lit(f"({NUMBER}|{NAME})" if form == NAMES_FORM else f"({NUMBER})"), F.lit(1))
 
 
-def _windows(tokens: Column, length: int) -> Column:
-    """Hashes of all windows of this length, in order."""
-    last = F.size(tokens) - length
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(tokens, i, length)))).otherwise(F.array().cast("array<bigint>"))
+def hashed_windows(df: DataFrame, length: int) -> DataFrame:
+    """df with, for its column tokens, the hashes of all windows of this length in order: windows of twice the length are made of two."""
+    df = df.withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(t)))
+    width = 1
+    while width < length:
+        step = min(width, length - width)
+        n = F.greatest(F.size("hashes") - step, F.lit(0))
+        df = df.withColumn("hashes", F.zip_with(F.slice("hashes", 1, n), F.slice("hashes", step + 1, n), lambda x, y: F.xxhash64(x, y)))
+        width += step
+    return df
 
 
 def _slots(tokens: Column) -> Column:
@@ -76,12 +82,13 @@ def _slots(tokens: Column) -> Column:
 def benchmark_windows(benchmark: DataFrame, window: int, form: int) -> DataFrame:
     """A row per window of each item: item_id, b_pos, length, hash, n_windows, few (too few words to match other values) and the values in its slots."""
     items = benchmark.where("item_id is not null").select("item_id", template_tokens(F.col("text"), form).alias("tokens"), slot_values(F.col("text"), form).alias("values")).where(F.size("tokens") >= LEAST_TOKENS)
-    items = items.withColumn("length", F.least(F.lit(window), F.size("tokens")))
-    each = items.withColumn("n_windows", F.size("tokens") - F.col("length") + 1).withColumn("b_pos", F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)))
+    sizes = range(min(LEAST_TOKENS, window), window + 1)
+    by_length = [hashed_windows(items.where(F.least(F.size("tokens"), F.lit(window)) == n), n).withColumn("length", F.lit(n)) for n in sizes]
+    each = reduce(DataFrame.union, by_length).select("*", F.size("hashes").alias("n_windows"), F.posexplode("hashes").alias("b_pos", "hash"))
     own = F.slice("tokens", F.col("b_pos") + 1, F.col("length"))
     before = _slots(F.slice("tokens", F.lit(1), F.col("b_pos")))
     words = F.size(F.filter(own, lambda t: ~t.isin(_NUM, _NAME, _UNIT)))
-    return each.select(F.lit(form).alias("form"), "item_id", "b_pos", "length", F.xxhash64(own).alias("hash"), "n_windows", (words < LEAST_WORDS).alias("few"), F.slice("values", before + 1, _slots(own)).alias("b_values"))
+    return each.select(F.lit(form).alias("form"), "item_id", "b_pos", "length", "hash", "n_windows", (words < LEAST_WORDS).alias("few"), F.slice("values", before + 1, _slots(own)).alias("b_values"))
 
 
 def _few(df: DataFrame, bound: int) -> DataFrame:
@@ -113,7 +120,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share:
         own = known.where((F.col("form") == form) & (F.col("length") == length))
         keys = own.select("hash").distinct()
         tokens = texts.select("doc_id", template_tokens(F.col("text"), form).alias("tokens"))
-        each = tokens.select("doc_id", F.posexplode(_windows(F.col("tokens"), length)).alias("pos", "hash"))
+        each = hashed_windows(tokens, length).select("doc_id", F.posexplode("hashes").alias("pos", "hash"))
         met = each.join(F.broadcast(keys) if small else keys, "hash")
         hits.append(met.join(F.broadcast(own) if small else own, "hash").select("form", "doc_id", "item_id", "pos", "b_pos", "n_windows", "few", "b_values"))
     if not hits:
