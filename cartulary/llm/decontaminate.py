@@ -64,7 +64,11 @@ def slot_values(text: Column, form: int) -> Column:
 
 
 def hashed_windows(df: DataFrame, length: int) -> DataFrame:
-    """df with, for its column tokens, the hashes of all windows of this length in order: windows of twice the length are made of two."""
+    """df with, for its column tokens, the hashes of all windows of this length in order: windows of twice the length are made of two.
+
+    They are to be exploded with the outer form: for the inner one the optimiser
+    adds a test of their number below all projections, where they are made again.
+    """
     df = df.withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(t)))
     width = 1
     while width < length:
@@ -84,7 +88,7 @@ def benchmark_windows(benchmark: DataFrame, window: int, form: int) -> DataFrame
     items = benchmark.where("item_id is not null").select("item_id", template_tokens(F.col("text"), form).alias("tokens"), slot_values(F.col("text"), form).alias("values")).where(F.size("tokens") >= LEAST_TOKENS)
     sizes = range(min(LEAST_TOKENS, window), window + 1)
     by_length = [hashed_windows(items.where(F.least(F.size("tokens"), F.lit(window)) == n), n).withColumn("length", F.lit(n)) for n in sizes]
-    each = reduce(DataFrame.union, by_length).select("*", F.size("hashes").alias("n_windows"), F.posexplode("hashes").alias("b_pos", "hash"))
+    each = reduce(DataFrame.union, by_length).select("*", F.size("hashes").alias("n_windows"), F.posexplode_outer("hashes").alias("b_pos", "hash")).where("hash is not null")
     own = F.slice("tokens", F.col("b_pos") + 1, F.col("length"))
     before = _slots(F.slice("tokens", F.lit(1), F.col("b_pos")))
     words = F.size(F.filter(own, lambda t: ~t.isin(_NUM, _NAME, _UNIT)))
@@ -120,7 +124,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share:
         own = known.where((F.col("form") == form) & (F.col("length") == length))
         keys = own.select("hash").distinct()
         tokens = texts.select("doc_id", template_tokens(F.col("text"), form).alias("tokens"))
-        each = hashed_windows(tokens, length).select("doc_id", F.posexplode("hashes").alias("pos", "hash"))
+        each = hashed_windows(tokens, length).select("doc_id", F.posexplode_outer("hashes").alias("pos", "hash"))
         met = each.join(F.broadcast(keys) if small else keys, "hash")
         hits.append(met.join(F.broadcast(own) if small else own, "hash").select("form", "doc_id", "item_id", "pos", "b_pos", "n_windows", "few", "b_values"))
     if not hits:
