@@ -23,15 +23,17 @@ UNKNOWN = "und"
 #: Code points that are counted together.
 COUNT_POINTS = 1 << 22
 
+#: Code points that there are.
+POINTS = 0x110000
 _BLANK = 0x20
 _TABLE: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """The small letter of each code point under 0x30000, a blank for what is no letter."""
+    """The small letter of each code point, a blank for what is no letter."""
     if not _TABLE:
-        table = np.full(0x30001, _BLANK, np.uint32)
-        for point in range(0x30000):
+        table = np.full(POINTS, _BLANK, np.uint32)
+        for point in range(POINTS):
             c = chr(point)
             if c.isalpha():
                 low = c.lower()
@@ -44,7 +46,7 @@ def letters(chunk: textbuf.Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Small letters with one blank before, between and after the words of each document, and the offsets of the documents."""
     points = np.frombuffer(chunk.data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4")
     before = np.concatenate([[0], np.cumsum((chunk.data & 0xC0) != 0x80)])[chunk.offsets]
-    seq = _letters()[np.minimum(points, 0x30000)]
+    seq = _letters()[points]
     # A blank of its own after each document keeps words of two documents apart.
     seq = np.insert(seq, before[1:], _BLANK)
     ends = before + np.arange(len(before))
@@ -137,7 +139,7 @@ class Ranker:
         known = sorted({c for p in profiles.values() for g in p for c in g if c != " "})
         # Letters that no profile has count as one letter.
         self.bits = max(2, (len(known) + 2).bit_length())
-        self.numbers = np.full(0x30001, len(known) + 1, np.int64)
+        self.numbers = np.full(POINTS, len(known) + 1, np.int32)
         self.numbers[_BLANK] = 0
         number = {" ": (1 << self.bits) - 1} | {c: i + 1 for i, c in enumerate(known)}
         for c in known:
@@ -150,13 +152,13 @@ class Ranker:
                     code = code << self.bits | number[c]
                 ranks.setdefault(code, np.full(len(self.langs), -1, np.int64))[k] = rank
         self.codes = np.array(sorted(ranks), np.int64)
-        self.ranks = np.array([ranks[c] for c in self.codes.tolist()], np.int64).reshape(-1, len(self.langs))
+        self.ranks = np.array([ranks[c] for c in self.codes.tolist()], np.int64).reshape(len(ranks), len(self.langs))
 
     def rank(self, seq: np.ndarray) -> tuple[str, float]:
         """The nearest language and a score; seq as letters() makes it."""
         if not self.langs or not (seq != _BLANK).any():
             return UNKNOWN, 0.0
-        padded = np.concatenate([[0], self.numbers[np.minimum(seq, 0x30000)]])
+        padded = np.concatenate([[0], self.numbers[seq]])
         codes = np.sort(_grams(padded, self.bits))
         first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
         counts = np.diff(np.append(first, len(codes)))

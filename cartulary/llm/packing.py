@@ -15,7 +15,9 @@ exactly full, and no deficit reaches one token.  So every document finds its own
 windows, pieces and offsets from where it begins in its queue; deficits cross
 windows and tasks without any task waiting for another.
 
-A queue whose quantum is under one token shares a last queue with others like it.
+A queue whose quantum is under one token shares a last queue with others like it, in
+which the input's tasks follow each other, each with all its small sources: windows
+get whole stretches of small documents, not a token of each.
 """
 
 from __future__ import annotations
@@ -81,15 +83,23 @@ def queues(tokens: DataFrame, window: int) -> DataFrame:
     totals = ends.groupBy("rest", "queue").agg(F.sum("n").alias("own"))
     totals = totals.withColumn("high", F.sum("own").over(Window.orderBy("rest", "queue").rowsBetween(Window.unboundedPreceding, 0)))
     ends = ends.drop("n").join(totals, ["rest", "queue"])
-    before = Window.partitionBy("rest", "queue").orderBy("source", "task").rowsBetween(Window.unboundedPreceding, -1)
+    # In the shared queue small sources follow each other task by task, so each stretch of it has their mixture.
+    before = Window.partitionBy("rest", "queue").orderBy("task", "source").rowsBetween(Window.unboundedPreceding, -1)
     return sums.join(ends, "source").select("source", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), (F.col("high") - F.col("own")).alias("low"), "high", "total")
 
 
 def served(w: np.ndarray, up_to: np.ndarray, total: np.ndarray, window: int) -> np.ndarray:
     """D of the module's text: tokens that queues holding up_to tokens together have sent after w rounds."""
-    if len(total) and int(total[0]) ** 2 >= 1 << 62:
-        w, up_to, total = w.astype(object), up_to.astype(object), total.astype(object)
-    return (np.minimum(w * window, total) * up_to // np.maximum(total, 1)).astype(np.int64)
+    total = np.maximum(total, 1)
+    sent = np.minimum(w * window, total)
+    # sent * up_to // total, one digit of up_to after another, so that no product leaves 63 bits.
+    bits = int(total.max(initial=1)).bit_length()
+    digit = 62 - bits
+    whole, rest = np.zeros_like(sent), np.zeros_like(sent)
+    for k in reversed(range(-(-bits // digit))):
+        part = (rest << digit) + sent * (up_to >> k * digit & (1 << digit) - 1)
+        whole, rest = (whole << digit) + part // total, part % total
+    return whole
 
 
 def _window_of(token: np.ndarray, low: np.ndarray, high: np.ndarray, total: np.ndarray, window: int) -> np.ndarray:

@@ -20,12 +20,12 @@ from cartulary.llm import textbuf
 from cartulary.llm.workspace import lean
 
 NONE, BAD, GOOD = 0, 1, 2
-#: Documents, by hash of doc_id, on which the scorer is fitted.
+#: Distinct texts, by hash, on which the scorer is fitted, in expectation; twice as many at most.
 SAMPLE = 4000
-BUCKETS = 4096
+BUCKETS, WORD_BUCKETS = 4096, 1024
 THRESHOLD = 0.5
-#: Share of a heuristic's votes on good documents that may be bad ones.
-MOST_FALSE = 0.002
+#: What is known of a heuristic beforehand counts as so many votes on good documents for each that it cast, of which this share was wrong.
+PRIOR_VOTES, PRIOR_WRONG = 1.0, 0.002
 
 _CLASS = np.zeros(256, np.int64)  # 1 small, 2 capital, 3 digit, 4 symbol, 5 white space, 6 beyond ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 3
@@ -103,18 +103,16 @@ class LabelModel:
     def __init__(self, pattern: np.ndarray, n: np.ndarray, rounds: int = 50):
         vote = votes(pattern)
         k = vote.shape[1]
-        # Of the votes that a heuristic casts, how many are bad ones.  Heuristics are precise: they seldom speak against a good document, and each sees only some bad ones.
+        # Of the votes that a heuristic casts, how many are bad ones.  It starts as precise: it seldom speaks against a good document, and sees some of the bad ones.
         self.prior = 0.8
         self.bad = np.array([[0.3] * k, [0.01] * k])
         for _ in range(rounds if len(pattern) else 0):
             good = self._posterior(vote) * n
-            self.prior = float(np.clip((good.sum() + 1) / (n.sum() + 2), 0.02, 0.98))
-            for y, weight in ((0, n - good), (1, good)):
+            self.prior = float((good.sum() + 1) / (n.sum() + 2))
+            for y, weight, known, wrong in ((0, n - good, 0.0, 0.5), (1, good, PRIOR_VOTES, PRIOR_WRONG)):
                 cast = ((vote != NONE) * weight[:, None]).sum(axis=0)
-                self.bad[y] = (((vote == BAD) * weight[:, None]).sum(axis=0) + 0.1) / (cast + 1)
-            # The classes keep their names: a bad vote speaks against a document, and rarely meets a good one.
-            self.bad[1] = np.clip(self.bad[1], 1e-4, MOST_FALSE)
-            self.bad[0] = np.clip(self.bad[0], 2 * self.bad[1], 0.98)
+                # Two more votes keep the estimate off 0 and 1.
+                self.bad[y] = (((vote == BAD) * weight[:, None]).sum(axis=0) + known * wrong * cast + 2 * wrong) / (cast + known * cast + 2)
 
     def _posterior(self, vote: np.ndarray) -> np.ndarray:
         against = np.log(self.bad[1] / self.bad[0])
@@ -126,19 +124,30 @@ class LabelModel:
         return self._posterior(votes(pattern))
 
 
-def features(chunk: textbuf.Chunk, pattern: np.ndarray) -> np.ndarray:
-    """For each document the root of the shares of its hashed byte trigrams, of length 1, and in buckets of their own the votes on it."""
+def features(chunk: textbuf.Chunk) -> np.ndarray:
+    """For each document the roots of the shares of its hashed byte trigrams, and of its words by shape and by how often they stand in it, hashed as well; each of length 1."""
     d = chunk.data.astype(np.uint32)
     hashed = np.zeros(len(d), np.uint32)
     if len(d) > 2:
         hashed[:-2] = (d[:-2] * np.uint32(0x9E3779B1) ^ d[1:-1] * np.uint32(0x85EBCA77) ^ d[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(20)
-    out = np.zeros((chunk.n, BUCKETS), np.float32)
+    starts, ends, docs = textbuf.spans(chunk)
+    words = textbuf.hashes(chunk.data, starts, ends)
+    shape = np.minimum(ends - starts, 31) * 49 + _CLASS[chunk.data[starts]] * 7 + _CLASS[chunk.data[ends - 1]]
+    out = np.zeros((chunk.n, BUCKETS + WORD_BUCKETS), np.float32)
     for i in range(chunk.n):
         a, b = int(chunk.offsets[i]), int(chunk.offsets[i + 1])
         if b - a > 2:
-            out[i] = np.sqrt(np.bincount(hashed[a : b - 2], minlength=BUCKETS) / (b - a - 2))
-    cast = np.eye(3, dtype=np.float32)[votes(pattern)].reshape(chunk.n, -1) * np.float32(0.5)
-    return np.hstack([out, cast])
+            out[i, :BUCKETS] = np.sqrt(np.bincount(hashed[a : b - 2], minlength=BUCKETS) / (b - a - 2))
+        first, last = int(docs[i]), int(docs[i + 1])
+        if last > first:
+            _, back, n = np.unique(words[first:last], return_inverse=True, return_counts=True)
+            # How often in steps of a factor of two, against how often a word of a text of this length may well stand in it.
+            often = np.minimum(np.log2(n * (64.0 / (last - first + 64)) + 1).astype(np.int64), 7)[back]
+            alike = np.concatenate([[False], back[1:] == back[:-1]])
+            kind = (shape[first:last] * 8 + often) * 2 + alike
+            kind = (kind.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - WORD_BUCKETS.bit_length() + 1)
+            out[i, BUCKETS:] = np.sqrt(np.bincount(kind, minlength=WORD_BUCKETS) / (last - first))
+    return out
 
 
 def fit_scorer(x: np.ndarray, p: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -174,19 +183,19 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray
     pattern, n = np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], np.float64)
     model = LabelModel(pattern, n)
     rate = min(1.0, sample / max(1.0, n.sum()))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(np.ceil(rate * (1 << 20)))).select("text").limit(2 * sample)
+    chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(np.ceil(rate * (1 << 20)))).select("text").distinct()
 
     @textbuf.frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in textbuf.chunks(batch.column(0)):
                 pattern = patterns(signals(chunk))
-                x = features(chunk, pattern).astype(np.float16)
+                x = features(chunk).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array([r.tobytes() for r in x], pa.binary())], ["pattern", "x"])
 
     @textbuf.frugal
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, parts = [np.empty(0, np.int64)], [np.empty((0, BUCKETS + 3 * len(HEURISTICS)), np.float32)]
+        seen, parts = [np.empty(0, np.int64)], [np.empty((0, BUCKETS + WORD_BUCKETS), np.float32)]
         for batch in batches:
             seen.append(batch.column(0).to_numpy())
             parts.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float16).reshape(batch.num_rows, -1).astype(np.float32))
@@ -194,7 +203,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
     # The sample is bounded, so one task can fit it; only the weights come to the driver.  In one order, so that the sums are the same each time.
-    measured = chosen.mapInArrow(scan, "pattern long, x binary").coalesce(1).sortWithinPartitions("pattern", "x")
+    measured = chosen.mapInArrow(scan, "pattern long, x binary").orderBy(F.xxhash64("x"), "x").limit(2 * sample)
     return model, np.frombuffer(bytes(measured.mapInArrow(fit, "weights binary").collect()[0][0]))
 
 
@@ -219,7 +228,7 @@ def judge(docs: DataFrame, *, sample: int = SAMPLE, threshold: float = THRESHOLD
             for chunk in textbuf.chunks(batch.column(at)):
                 measured = signals(chunk)
                 pattern = patterns(measured)
-                quality = 1 / (1 + np.exp(-np.clip(features(chunk, pattern) @ weights[:-1] + weights[-1], -50, 50)))
+                quality = 1 / (1 + np.exp(-np.clip(features(chunk) @ weights[:-1] + weights[-1], -50, 50)))
                 quality = np.where(measured[:, -1] > 0, quality, 0.0)
                 part = batch.slice(chunk.first, chunk.n)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.posterior(pattern)), pa.array(quality), pa.array(quality >= threshold)], [*names, *extra])

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
 import string
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,16 @@ LEAST_RUN = 20
 NEAR = 48
 MASK = b"<secret>"
 
-# Words of the assignment rule, of the neighbourhood and of the dictionary; prefixes of known token kinds.
+#: Letters of words that the dictionary may hold, the hash buckets in which all such words of the corpus are counted, and the share of them all that makes a bucket's words the dictionary's.
+LETTERS = (4, 12)
+BUCKETS = 1 << 18
+FREQUENT = 1 / 20_000
+#: Hash buckets of the words before and after a candidate.
+NEIGHBOURS = 24
+#: Labelled findings, by hash, on which the forest is fitted at most.
+LABELS = 50_000
+
+# Words of the assignment rule and of the neighbourhood, words that generated findings are made of, prefixes of known token kinds.
 KEYS = "token secret password passwd passphrase pwd apikey api_key api-key access_key access-key accesskey private_key client_secret auth authorization bearer credential credentials signing_key encryption_key"
 HARMLESS = "example sample dummy placeholder test testing fake mock checksum sha1 sha256 md5 hash digest commit revision uuid guid version href src class id isbn doi integrity etag"
 WORDS = "about after again also apple because before being between build change class client code color config content could count create data date default delete document down each email error example field file find first font form from function group hello help here home house image index info input into item just key know large light line link list local long made main make many message method more most name network next null number object only option other over page param part password path people place placeholder point port print project public query read report request result return right sample scale school script search secret select server service set short should show simple size small source space start state string style table team test text that them then there these thing this time title token type under update user value version very view water well what when where which while white will with word work world would write year your"
@@ -33,18 +45,18 @@ PREFIXES = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]
 _KEY_BEFORE = re.compile(rb"(?:" + "|".join(sorted(KEYS.split(), key=len, reverse=True)).encode() + rb")[\"'\]]?[ \t]*[:=][ \t]*[\"'`]?$", re.I)
 _KEY_NEAR = re.compile(rb"(?:" + b"|".join(re.escape(x.encode()) for x in KEYS.split()) + rb")", re.I)
 _HARMLESS_NEAR = re.compile(rb"\b(?:" + b"|".join(x.encode() for x in HARMLESS.split()) + rb")\b", re.I)
-_DICTIONARY = re.compile(b"|".join(sorted((x.encode() for x in WORDS.split()), key=len, reverse=True)), re.I)
 _KNOWN = re.compile(rb"^(?:" + PREFIXES.encode() + rb")$")
 _VALUE = re.compile(rb"[^\s\"'`,;<>(){}\[\]]{6,}")
 _TEST_PATH = re.compile(r"(?:^|[^a-z])(?:tests?|examples?|samples?|fixtures?|docs?|demo|mock)(?:[^a-z]|$)", re.I)
-_BLOCK = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.S)
+_BEGIN, _END = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), re.compile(rb"-----END [A-Z ]{0,40}PRIVATE KEY-----")
+_WORD = re.compile(rb"[a-z]+")
 
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in string.ascii_letters + string.digits + "+/_=-."]] = True
 _KIND = np.zeros(256, np.int64)
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 1, 2, 3
 _DIGIT = _KIND == 3
-FEATURES = ("length", "digits", "capitals", "small letters", "kinds of characters", "changes of kind", "entropy", "hexadecimal", "rare transitions", "dictionary", "key before", "key near", "harmless near", "known form", "in a path", "test path", "block", "repeats")
+FEATURES = ("length", "digits", "capitals", "small letters", "kinds of characters", "changes of kind", "entropy", "hexadecimal", "rare transitions", "dictionary", "key before", "key near", "harmless near", "known form", "in a path", "test path", "block", "repeats", *(f"neighbour {k}" for k in range(NEIGHBOURS)))
 
 
 def candidates(chunk: textbuf.Chunk) -> list[tuple[int, int, int, str]]:
@@ -71,56 +83,121 @@ def candidates(chunk: textbuf.Chunk) -> list[tuple[int, int, int, str]]:
             x, y = max(a, int(offsets[d])), min(b, int(offsets[d + 1]))
             if y - x >= LEAST_RUN and digits[y] > digits[x]:
                 found.append((d, x, y, 1, "known form" if _KNOWN.match(raw[x:y]) else "long run"))
-    at = raw.find(b"-----BEGIN ")
-    while at >= 0:
-        d = doc_of(at)
-        if m := _BLOCK.match(raw, at, int(offsets[d + 1])):
-            found.append((d, m.start(), m.end(), -1, "private key"))
-        at = raw.find(b"-----BEGIN ", at + 1)
+    ends = [(m.start(), m.end()) for m in _END.finditer(raw)]
+    for m in _BEGIN.finditer(raw):
+        d = doc_of(m.start())
+        k = bisect.bisect_left(ends, (m.end(),))
+        if k < len(ends) and ends[k][1] <= offsets[d + 1]:
+            found.append((d, m.start(), ends[k][1], -1, "private key"))
     found.sort(key=lambda x: (x[0], x[3], x[1], x[2]))
-    kept: dict[int, list[tuple[int, int]]] = {}
-    out = []
+    # Spans that were kept never overlap, so only the neighbours of a new one can.
+    starts, out, last = [], [], -1
+    stops: dict[int, int] = {}
     for d, a, b, _, rule in found:
-        if all(b <= x or a >= y for x, y in kept.get(d, ())):
-            kept.setdefault(d, []).append((a, b))
+        if d != last:
+            starts, stops, last = [], {}, d
+        k = bisect.bisect_left(starts, a)
+        if (k == 0 or stops[starts[k - 1]] <= a) and (k == len(starts) or starts[k] >= b):
+            starts.insert(k, a)
+            stops[a] = b
             out.append((d, a, b, rule))
     return sorted(out)
 
 
-def features(value: bytes, before: bytes, after: bytes, path: str, transitions: np.ndarray) -> list[float]:
-    """FEATURES of a candidate; transitions: cost of each byte pair in the corpus."""
+def _buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return (textbuf.hashes(data, starts, ends) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _words_counted(chunk: textbuf.Chunk) -> np.ndarray:
+    """In each bucket, how many runs of small or capital letters of the right length the chunk's documents have."""
+    letter = (_KIND[chunk.data] == 1) | (_KIND[chunk.data] == 2)
+    edge = np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    # A run over the end of a document is two words: it is left out, whatever documents meet in a chunk.
+    whole = np.searchsorted(chunk.offsets, starts, "right") == np.searchsorted(chunk.offsets, ends, "left")
+    whole &= (ends - starts >= LETTERS[0]) & (ends - starts <= LETTERS[1])
+    inner = np.isin(starts[whole], chunk.offsets) | np.isin(ends[whole], chunk.offsets)
+    starts, ends = starts[whole][~inner], ends[whole][~inner]
+    return np.bincount(_buckets(chunk.data, starts, ends), minlength=BUCKETS) if len(starts) else np.zeros(BUCKETS, np.int64)
+
+
+class Corpus:
+    """What all texts say of bytes and words: the cost of each byte after each other, and the buckets of frequent words."""
+
+    def __init__(self, pairs: np.ndarray, words: np.ndarray):
+        total = pairs.reshape(256, 256) + 0.5
+        self.costs = np.log2(total.sum(axis=1, keepdims=True) / total)
+        self.frequent = words > FREQUENT * max(1, words.sum())
+
+    def covered(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The share of each span that words of the dictionary cover."""
+        length = ends - starts
+        span = np.repeat(np.arange(len(starts)), length)
+        at = starts[span] + np.arange(len(span)) - np.repeat(np.cumsum(length) - length, length)
+        edge = np.zeros(len(data) + 1, np.int64)
+        letter = np.concatenate([[0], np.cumsum((_KIND[data] == 1) | (_KIND[data] == 2))])
+        for n in range(LETTERS[0], LETTERS[1] + 1):
+            inside = at + n <= ends[span]
+            a = at[inside]
+            a = a[letter[a + n] - letter[a] == n]
+            if len(a):
+                a = a[self.frequent[_buckets(data, a, a + n)]]
+                np.add.at(edge, a, 1)
+                np.add.at(edge, a + n, -1)
+        under = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+        return (under[ends] - under[starts]) / np.maximum(length, 1)
+
+
+def _neighbours(before: bytes, after: bytes) -> list[float]:
+    """How many words before, in the first half, and after fall into each bucket."""
+    out = [0.0] * NEIGHBOURS
+    half = NEIGHBOURS // 2
+    for k, text in ((0, before), (half, after)):
+        for word in _WORD.findall(text.lower()):
+            out[k + zlib.crc32(word) % half] += 1
+    return out
+
+
+def _features(value: bytes, before: bytes, after: bytes, path: str, costs: np.ndarray, covered: float) -> list[float]:
+    """FEATURES of a candidate; costs: of each byte after each other; covered: its share of letters in words of the dictionary."""
     v = np.frombuffer(value, np.uint8)
     n = max(1, len(v))
     kind = _KIND[v]
     count = np.bincount(kind, minlength=4)
     share = np.bincount(v, minlength=256)
     share = share[share > 0] / n
-    pairs = transitions[v[:-1], v[1:]].mean() if len(v) > 1 else 0.0
+    pairs = costs[v[:-1], v[1:]].mean() if len(v) > 1 else 0.0
     return [
         min(n, 400), count[3] / n, count[2] / n, count[1] / n, float((count > 0).sum()), float((kind[1:] != kind[:-1]).sum()) / n, float(-(share * np.log2(share)).sum()), float(re.fullmatch(rb"[0-9a-fA-F-]+", value) is not None), float(pairs),
-        sum(len(m.group()) for m in _DICTIONARY.finditer(value)) / n, float(_KEY_BEFORE.search(before) is not None), float(_KEY_NEAR.search(before) is not None), float(_HARMLESS_NEAR.search(before) is not None or _HARMLESS_NEAR.search(after) is not None), float(_KNOWN.match(value) is not None),
-        float(before[-1:] in b"/." and before != b"" or b"/" in value[1:] and b"." in value), float(_TEST_PATH.search(path) is not None), float(value.startswith(b"-----BEGIN")), 1 - len(set(value[i : i + 4] for i in range(max(1, n - 3)))) / max(1, n - 3),
+        covered, float(_KEY_BEFORE.search(before) is not None), float(_KEY_NEAR.search(before) is not None), float(_HARMLESS_NEAR.search(before) is not None or _HARMLESS_NEAR.search(after) is not None), float(_KNOWN.match(value) is not None),
+        float(before[-1:] in b"/." and before != b"" or b"/" in value[1:] and b"." in value), float(_TEST_PATH.search(path) is not None), float(value.startswith(b"-----BEGIN")), 1 - len(set(value[i : i + 4] for i in range(max(1, n - 3)))) / max(1, n - 3), *_neighbours(before, after),
     ]
 
 
-def transition_costs(docs: DataFrame) -> np.ndarray:
-    """Minus the log2 probability of each byte after each other, from all texts."""
+def corpus_of(docs: DataFrame) -> Corpus:
+    """From all texts, and alike however they are dealt: pairs and words never reach over the end of a document."""
 
     @textbuf.frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        pairs, words = np.zeros(1 << 16, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for chunk in textbuf.chunks(batch.column(0)):
                 d = chunk.data.astype(np.uint16)
-                total += np.bincount(d[:-1] << 8 | d[1:], minlength=1 << 16)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["pair", "n"])
+                keep = np.ones(max(0, len(d) - 1), bool)
+                inner = chunk.offsets[(chunk.offsets > 0) & (chunk.offsets < len(d))]
+                keep[inner - 1] = False
+                pairs += np.bincount((d[:-1] << 8 | d[1:])[keep], minlength=1 << 16)
+                words += _words_counted(chunk)
+        for kind, total in ((0, pairs), (1, words)):
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), kind, np.int32)), pa.array(used), pa.array(total[used])], ["kind", "key", "n"])
 
-    total = np.zeros(1 << 16)
-    for pair, n in docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():  # at most 65,536 rows
-        total[pair] = n
-    total = total.reshape(256, 256) + 0.5
-    return np.log2(total.sum(axis=1, keepdims=True) / total)
+    pairs, words = np.zeros(1 << 16), np.zeros(BUCKETS)
+    sums = docs.select("text").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    for batch in sums.toArrow().to_batches():  # at most a row per pair and per bucket
+        kind, key, n = (batch.column(c).to_numpy() for c in ("kind", "key", "n"))
+        pairs[key[kind == 0]], words[key[kind == 1]] = n[kind == 0], n[kind == 1]
+    return Corpus(pairs, words)
 
 
 def example_findings(n: int = 1500, seed: int = 11) -> list[tuple[bytes, bytes, bytes, str, int]]:
@@ -152,39 +229,57 @@ def example_findings(n: int = 1500, seed: int = 11) -> list[tuple[bytes, bytes,
     return out
 
 
-def train(transitions: np.ndarray, labelled: list[tuple[bytes, bytes, bytes, str, int]]) -> Forest:
-    x = np.array([features(v, b[-NEAR:], a[:NEAR], p, transitions) for v, b, a, p, _ in labelled]).reshape(-1, len(FEATURES))
-    return Forest(x, np.array([r[4] for r in labelled], float))
+def _table(found: list[tuple[bytes, bytes, bytes, str]], corpus: Corpus) -> np.ndarray:
+    """A row of FEATURES for each finding (value, before, after, path)."""
+    data = np.frombuffer(b"".join(f[0] for f in found), np.uint8)
+    ends = np.cumsum([len(f[0]) for f in found])
+    covered = corpus.covered(data, ends - [len(f[0]) for f in found], ends)
+    return np.array([_features(*f, corpus.costs, float(c)) for f, c in zip(found, covered)]).reshape(-1, len(FEATURES))
+
 
+def train(corpus: Corpus, labelled: DataFrame | list[tuple[bytes, bytes, bytes, str, int]] | None) -> Forest:
+    """The forest of labelled findings: rows, or a table with columns value, before, after (strings or bytes), path and secret (0 or 1), of which at most LABELS rows are used."""
+    if isinstance(labelled, DataFrame):
+        rows = labelled.select(*(F.coalesce(F.col(c).cast("binary"), F.lit(b"")).alias(c) for c in ("value", "before", "after")), F.coalesce("path", F.lit("")).alias("path"), F.col("secret").cast("int").alias("secret")).where("secret is not null")
+        labelled = [(bytes(r[0]), bytes(r[1]), bytes(r[2]), r[3], r[4]) for r in rows.orderBy(F.xxhash64("value", "before", "after"), "value", "before", "after", "path", "secret").limit(LABELS).collect()]
+    elif labelled is None:
+        labelled = example_findings()
+    labelled = [x for x in labelled if x[0]]
+    return Forest(_table([(v, b[-NEAR:], a[:NEAR], p) for v, b, a, p, _ in labelled], corpus) if labelled else np.empty((0, len(FEATURES))), np.array([r[4] for r in labelled], float))
 
-def _judged(chunk: textbuf.Chunk, paths: list[str], forest: Forest, transitions: np.ndarray) -> list[tuple[int, int, int, str, float]]:
+
+def _judged(chunk: textbuf.Chunk, paths: list[str], forest: Forest, corpus: Corpus) -> list[tuple[int, int, int, str, float]]:
     found = candidates(chunk)
-    if not found:
-        return []
-    x = []
-    for d, a, b, _ in found:
-        low, high = int(chunk.offsets[d]), int(chunk.offsets[d + 1])
-        x.append(features(chunk.data[a:b].tobytes(), chunk.data[max(low, a - NEAR) : a].tobytes(), chunk.data[b : min(high, b + NEAR)].tobytes(), paths[d], transitions))
-    return [(*f, float(s)) for f, s in zip(found, forest.of(np.array(x)))]
+    out = []
+    for k in range(0, len(found), 5000):
+        rows = []
+        for d, a, b, _ in found[k : k + 5000]:
+            low, high = int(chunk.offsets[d]), int(chunk.offsets[d + 1])
+            rows.append((chunk.data[a:b].tobytes(), chunk.data[max(low, a - NEAR) : a].tobytes(), chunk.data[b : min(high, b + NEAR)].tobytes(), paths[d]))
+        out += [(*f, float(s)) for f, s in zip(found[k : k + 5000], forest.of(_table(rows, corpus)))]
+    return out
 
 
-def scan(docs: DataFrame, *, labelled: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, *, labelled: DataFrame | list | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """A row per candidate: doc_id, start and length in bytes, rule, sha256 of the value, score, is_secret.
 
-    docs needs doc_id, text and source (the path of the text).  Null texts have no
-    candidates, a null source is an empty path; whole texts are scanned, also very
-    long ones; repeated rows give repeated findings; an empty table gives none.
+    docs needs doc_id, text and source (the path of the text); other columns are
+    ignored.  Null texts have no candidates, a null source is an empty path, a null
+    doc_id stays null; whole texts are scanned, also very long ones; repeated rows
+    give repeated findings; an empty table gives none.  labelled: see train();
+    without it generated findings are learned from.  If it is empty nothing can be
+    told apart: all candidates have score 0.5, which is at the threshold.
     """
     docs = lean(docs)
-    transitions = transition_costs(docs)
-    forest = train(transitions, example_findings() if labelled is None else labelled)
+    corpus = corpus_of(docs)
+    forest = train(corpus, labelled)
 
     @textbuf.frugal
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, paths = batch.column(0), [p or "" for p in batch.column(2).to_pylist()]
             for chunk in textbuf.chunks(batch.column(1)):
-                rows = _judged(chunk, paths[chunk.first : chunk.first + chunk.n], forest, transitions)
+                rows = _judged(chunk, paths[chunk.first : chunk.first + chunk.n], forest, corpus)
                 at = pa.array([chunk.first + r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(at), pa.array([r[1] - int(chunk.offsets[r[0]]) for r in rows], pa.int64()), pa.array([r[2] - r[1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string()), pa.array([hashlib.sha256(chunk.data[r[1] : r[2]].tobytes()).hexdigest() for r in rows], pa.string()), pa.array([r[4] for r in rows], pa.float64()), pa.array([r[4] >= threshold for r in rows], pa.bool_())],
@@ -194,11 +289,16 @@ def scan(docs: DataFrame, *, labelled: list | None = None, threshold: float = TH
     return docs.select("doc_id", "text", "source").mapInArrow(find, "doc_id long, start long, length long, rule string, value_sha256 string, score double, is_secret boolean")
 
 
-def redact(docs: DataFrame, *, labelled: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with each secret replaced by a mask, and n_chars to match; all rows and columns stay, null texts stay null."""
+def redact(docs: DataFrame, *, labelled: DataFrame | list | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with each secret replaced by a mask, and n_chars to match.
+
+    All rows and columns stay, repeated ones and those without a doc_id too; null
+    texts stay null, a null source is an empty path, texts of any length are masked
+    whole; an empty table stays empty.  labelled: see scan().
+    """
     docs = lean(docs)
-    transitions = transition_costs(docs)
-    forest = train(transitions, example_findings() if labelled is None else labelled)
+    corpus = corpus_of(docs)
+    forest = train(corpus, labelled)
     names = docs.columns
     at, source = names.index("text"), names.index("source")
 
@@ -206,18 +306,18 @@ def redact(docs: DataFrame, *, labelled: list | None = None, threshold: float =
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = [p or "" for p in batch.column(source).to_pylist()]
-            texts = None
+            texts: dict[int, list[bytes]] = {}
             for chunk in textbuf.chunks(batch.column(at)):
-                for d, a, b, _, score in reversed(_judged(chunk, paths[chunk.first : chunk.first + chunk.n], forest, transitions)):
+                done: dict[int, int] = {}
+                for d, a, b, _, score in _judged(chunk, paths[chunk.first : chunk.first + chunk.n], forest, corpus):
                     if score >= threshold:
-                        texts = texts if texts is not None else {}
-                        own = texts.setdefault(chunk.first + d, chunk.text(d))
-                        a, b = a - int(chunk.offsets[d]), b - int(chunk.offsets[d])
-                        texts[chunk.first + d] = own[:a] + MASK + own[b:]
+                        texts.setdefault(chunk.first + d, []).extend((chunk.data[done.get(d, int(chunk.offsets[d])) : a].tobytes(), MASK))
+                        done[d] = b
+                for d, b in done.items():
+                    texts[chunk.first + d].append(chunk.data[b : int(chunk.offsets[d + 1])].tobytes())
             if texts:
-                old = batch.column(at)
-                new = pa.array([texts[i].decode("utf-8", "replace") if i in texts else v.as_py() for i, v in enumerate(old)], pa.string())
-                batch = batch.set_column(at, pa.field("text", pa.string()), new)
+                new = pa.array([b"".join(texts[i]).decode("utf-8", "replace") if i in texts else None for i in range(batch.num_rows)], pa.string())
+                batch = batch.set_column(at, pa.field("text", pa.string()), pc.if_else(pa.array([i in texts for i in range(batch.num_rows)]), new, batch.column(at)))
             yield batch
 
     out = docs.mapInArrow(mask, docs.schema)

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cartulary.llm import decontaminate, flac, language, lm_score, media, ngram_join, packing, quality, secrets, subword, textbuf, url_filter, warc
 
@@ -288,3 +289,60 @@ def test_empty_tables(spark, docs):
     pages, bench = spark.createDataFrame([], "page_id long, url string, html string"), spark.createDataFrame([], "item_id long, text string")
     made = [ngram_join.join(none), packing.pack(none, tokenizer_path=BPE), media.describe(none), lm_score.score(none, tokenizer_path=BPE), decontaminate.leaks(none, bench), secrets.scan(none), url_filter.judge(pages), warc.digests(pages), language.identify(none), quality.judge(none)]
     assert [df.count() for df in made] == [0] * len(made)
+
+
+def test_secrets_do_not_depend_on_partitions(spark):
+    rows = [(i, f"{prose(i, 40)} token = \"{hashlib.sha1(bytes([i])).hexdigest()}\" and x{i}=Abc{i}defGhijkLmnopQ7 " + prose(90 + i, 9), "a") for i in range(40)] + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, seven = ([tuple(r) for r in secrets.scan(docs.repartition(n)).collect()] for n in (1, 7))
+    assert sorted(one, key=repr) == sorted(seven, key=repr) and len(one) >= 80
+
+
+def test_many_candidates_in_one_text_take_linear_time():
+    import time
+
+    text = " ".join(f"key{i}: {hashlib.md5(str(i).encode()).hexdigest()}" for i in range(20000)) + " -----BEGIN PRIVATE KEY-----" * 2000
+    began = time.perf_counter()
+    found = secrets.candidates(next(textbuf.chunks(pa.array([text]))))
+    assert len(found) == 20000 and time.perf_counter() - began < 5
+    assert all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+
+
+def test_candidates_equal_brute_force():
+    texts = ["password = 'hunter22' secret:abc123def456ghi789jkl0 x", "-----BEGIN PRIVATE KEY-----\nabc123abc123abc123abc1\n-----END PRIVATE KEY----- tail", "-----BEGIN PRIVATE KEY----- open", "no candidate at all", ""]
+    chunk = next(textbuf.chunks(pa.array(texts)))
+    got = [(d, chunk.data[a:b].tobytes().decode(), rule) for d, a, b, rule in secrets.candidates(chunk)]
+    assert got == [(0, "hunter22", "assignment"), (0, "abc123def456ghi789jkl0", "assignment"), (1, texts[1].removesuffix(" tail"), "private key")]
+
+
+def test_labelled_findings_are_learned(spark):
+    rows = [(f"{i:020d}a", "id ", " ", "", 0) for i in range(300)] + [(hashlib.sha1(str(i).encode()).hexdigest(), "id ", " ", "", 1) for i in range(300)]
+    docs = spark.createDataFrame([(1, "id 00000000000000000042a here", "x"), (2, f"id {hashlib.sha1(b'z').hexdigest()} here", "x")], "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["is_secret"] for r in secrets.scan(docs, labelled=spark.createDataFrame(rows, "value string, before string, after string, path string, secret int")).collect()}
+    assert found == {1: False, 2: True}
+    assert {r["score"] for r in secrets.scan(docs, labelled=[]).collect()} == {0.5}
+
+
+def test_served_is_exact_beyond_32_bits():
+    rng = np.random.default_rng(2)
+    for total in (1, 2048 * 7, (1 << 31) + 5, (1 << 45) + 12345):
+        up = rng.integers(0, total + 1, 50)
+        w = rng.integers(0, total // 2048 + 2, 50)
+        assert packing.served(w, up, np.full(50, total), 2048).tolist() == [min(int(a) * 2048, total) * int(b) // total for a, b in zip(w, up)]
+
+
+def test_letters_of_all_planes_count(spark):
+    rows = [(i, "\U00030001\U00030002 \U00030001", "xx") for i in range(9)] + [(10 + i, "plain words here", "en") for i in range(9)] + [(24, "\U00030002 \U00030001", None), (25, "123 456", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs).collect()}
+    assert (got[0], got[10], got[24], got[25]) == ("xx", "en", "xx", "und")
+    assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_url_hosts_paths_and_trees(spark):
+    rows = [(i, f"https://h{i}.Good.org/a/{i}?q=1") for i in range(60)] + [(100 + i, f"http://10.0.0.{i}:8080/x%20{'9' * 12}{i}#f") for i in range(60)] + [(300, "ftp://U.org"), (301, "x//y"), (302, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.where("page_id < 300 and page_id % 2 = 0").select("url", (F.col("page_id") < 100).alias("allow"))
+    got = {r["page_id"]: r for r in url_filter.judge(pages, rules=(), labelled=labels).collect()}
+    assert (got[1]["host"], got[1]["path"], got[1]["rule"]) == ("h1.good.org", "/a/1", None) and (got[300]["host"], got[300]["path"]) == ("u.org", "") and (got[301]["host"], got[302]["path"]) == ("", "")
+    assert all(got[i]["verdict"] == "allow" for i in range(1, 60, 2)) and all(got[100 + i]["verdict"] == "block" for i in range(1, 60, 2))
