@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cartulary.llm import decontaminate, flac, language, lm_score, media, ngram_join, packing, quality, secrets, subword, textbuf, url_filter, warc
+from cartulary.llm import attention, decontaminate, flac, language, lm_score, media, ngram_join, packing, quality, secrets, subword, textbuf, url_filter, warc
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, node long"
@@ -194,6 +194,46 @@ def leaked(spark, texts, items):
     return sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect())
 
 
+def test_model_is_a_distribution_and_scored_in_windows_as_in_one_pass():
+    rng = np.random.default_rng(4)
+    size, c = 40, attention.CONTEXT
+    counts = rng.integers(0, 50, size)
+    model = attention.Model(attention.Tree(counts))
+    smooth = (counts + 0.5) / (counts + 0.5).sum()
+    x = np.array([[size, 3, 4]])
+    first = np.array([model.log10(x, np.array([[3, 4, k]]))[0, 2] for k in range(size)])
+    assert np.allclose(10**first, smooth, rtol=1e-3)  # untrained: unigrams
+    text = np.concatenate([[k, (7 * k + 1) % size] for k in rng.integers(0, size, 400)])
+    before = model.fit(attention.windows(text, size), 1)
+    assert model.fit(attention.windows(text, size), 30, 0.3) < before - 0.5
+    every = np.array([model.log10(x, np.array([[3, 4, k]]))[0, 2] for k in range(size)])
+    assert abs((10**every).sum() - 1) < 1e-4 and not np.allclose(every, first, atol=0.1)
+    # Windows of several texts at once, against each position's own window in the plain form.
+    texts = [text[:1], text[:17], text[40:40], text[100:190]]
+    offsets = np.cumsum([0, *map(len, texts)])
+    got = attention.Scorer(model).log10(np.concatenate(texts), offsets)
+    for t, at in zip(texts, offsets):
+        seen = np.concatenate([[size], t])
+        for i in range(len(t)):
+            low = max(0, i - i % attention.STRIDE - (c - attention.STRIDE))
+            want = model.log10(seen[None, low : i + 1], np.append(seen[low + 1 : i + 1], t[i])[None])[0, -1]
+            assert abs(got[at + i] - want) < 1e-4
+
+
+def test_model_beats_unigrams_on_held_out_texts(spark):
+    rows = [(i, prose(700 + i, 80)) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one, two = (sorted(map(tuple, lm_score.score(d, tokenizer_path=BPE, part_bytes=9000).collect())) for d in (docs, docs.repartition(5)))
+    assert [r[:6] for r in one] == [r[:6] for r in two]
+    # Better than the subwords' own frequencies.
+    encoder = subword.Subwords.of(BPE)
+    ids = {i: encoder.tokenizer.encode(t, add_special_tokens=False).ids + [encoder.size - 1] for i, t in rows}
+    count = Counter(x for r in one if not r[1] for x in ids[r[0]])
+    total = sum(count.values()) + 0.5 * encoder.size
+    held = [r for r in one if r[1]]
+    assert sum(r[6] for r in held) > sum(math.log10((count[x] + 0.5) / total) for r in held for x in ids[r[0]]) + 100 and len(held) > 10
+
+
 def test_templates_catch_other_values(spark):
     bench = spark.createDataFrame([(1, "A train leaves at 5 km and then Anna buys 12 apples for 3.50 dollars from Bob in the market today"), (2, "too short"), (3, None)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "Intro here. A train leaves at 7 km and then Maria buys 20 apples for 4,000 euros from Carl in the market today More."), (2, None), (3, ""), (4, "A train leaves at 5 km")], "doc_id long, text string")
