@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Terms that mark a dull title; a bar marks the sides on which no letter, digit or underscore may follow.
+# Terms that mark a dull title.
 JUNK_TERMS = (
-    "|maps?| |atlas| |carte| |karte| |mapa| cadastr |survey| locator |flags?| coat[\\s_-]?of[\\s_-]?arms |seal| |emblem |logo |diagram |charts?| flowchart |icon| orthographic |location| topograph administ |blank| |outline| |gpx| wikimedia spreadsheet "
-    "|signature| |plan| schematic |sketch| |stamps?| banknote postcard |poster| caricature infographic screenshot chronolog |timeline genealog family[\\s_-]?tree"
-)
+    r"\bmaps?\b", r"\batlas\b", r"\bcarte\b", r"\bkarte\b", r"\bmapa\b", r"cadastr", r"\bsurvey\b", r"locator", r"\bflags?\b", r"coat[\s_-]?of[\s_-]?arms", r"\bseal\b", r"\bemblem", r"\blogo", r"\bdiagram", r"\bcharts?\b", r"flowchart",
+    r"\bicon\b", r"orthographic", r"\blocation\b", r"topograph", r"administ", r"\bblank\b", r"\boutline\b", r"\bgpx\b", r"wikimedia", r"spreadsheet", r"\bsignature\b", r"\bplan\b", r"schematic", r"\bsketch\b", r"\bstamps?\b", r"banknote", r"postcard",
+    r"\bposter\b", r"caricature", r"infographic", r"screenshot", r"chronolog", r"\btimeline", r"genealog", r"family[\s_-]?tree",
+)
 #: Epoch of day numbers.
 DAY_ONE = "2026-01-01"
 
@@ -29,22 +30,39 @@ def half_up(c: Column) -> Column:
     return F.floor(c + 0.5)
 
 
-def junk_pattern(words: str = JUNK_TERMS) -> str:
-    """A case-insensitive pattern of the terms with ASCII word bounds."""
-    edge = lambda t: ("(?<![A-Za-z0-9_])" if t.startswith("|") else "") + t.strip("|") + ("(?![A-Za-z0-9_])" if t.endswith("|") else "")
-    return "(?i)(?:" + "|".join(map(edge, words.split())) + ")"
+def junk_pattern(terms: tuple[str, ...] = JUNK_TERMS) -> str:
+    """A case-insensitive pattern of the terms, whose word bounds know ASCII letters, digits and underscores only."""
+    word = "[A-Za-z0-9_]"
+    return "(?i)(?:" + "|".join(t.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))") for t in terms) + ")"
 
 
 def is_junk(title: Column) -> Column:
     return title.rlike(junk_pattern())
 
 
-def escape_html(c: Column) -> Column:
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+# Entities.
+ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
+
+
+def escape_html(c: Column, null: str = "null") -> Column:
+    """Markup as text; null: what stands for null."""
+    c = F.coalesce(c, F.lit(null))
+    for char, entity in ENTITIES:
         c = F.replace(c, F.lit(char), F.lit(entity))
     return c
 
 
+def fallback_query(country: Column, era: Column) -> Column:
+    """The search for an era when its own found nothing."""
+    return F.trim(F.concat_ws(" ", F.coalesce(country, F.lit("")), F.coalesce(era, F.lit(""))))
+
+
+def full_image(thumb: Column, url: Column) -> Column:
+    """The address of a large picture: the thumbnail's at a width of 1280, where it has a width, else the file's, else the thumbnail's."""
+    sized = r"/\d+px-"
+    return F.when(thumb.rlike(sized), F.regexp_replace(thumb, rf"^(.*?){sized}(.*)$", "$1/1280px-$2")).otherwise(first_of(url, thumb))
+
+
 def clean_subject(c: Column) -> Column:
     """White space collapsed, trimmed, first letter upper case."""
     c = F.trim(F.regexp_replace(c, r"\s+", " "))

@@ -58,6 +58,23 @@ def first_by(df: DataFrame, keys: list[str], order: list, n: int = 1, rank: str
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
+def neighbours(keys: DataFrame, key: str) -> DataFrame:
+    """Distinct keys with the keys before and after each.
+
+    Keys are sorted in ranges; a window gives the neighbours within a range, and the
+    few rows at the edges of ranges find theirs among the ranges' least and greatest
+    keys.
+    """
+    ranged = keys.distinct().repartitionByRange(key).withColumn("_range", F.spark_partition_id())
+    inner = Window.partitionBy("_range").orderBy(key)
+    placed = ranged.select(key, "_range", F.lag(key).over(inner).alias("before"), F.lead(key).over(inner).alias("after"))
+    edges = placed.groupBy("_range").agg(F.min(key).alias("least"), F.max(key).alias("greatest"))
+    across = Window.orderBy("_range")  # a row for each range
+    edges = edges.select(F.lag("greatest").over(across).alias("_before"), F.lead("least").over(across).alias("_after"), "_range")
+    joined = placed.join(F.broadcast(edges), "_range")
+    return joined.select(key, F.coalesce("before", "_before").alias("before"), F.coalesce("after", "_after").alias("after"))
+
+
 def greedy_distinct(groups: DataFrame) -> DataFrame:
     """(group, picks): for each of the group's queries in order, the first candidate that none before took.
 

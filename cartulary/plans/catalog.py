@@ -67,15 +67,15 @@ def theme_resolution(t, spark):
 
 
 @query("""
-with f as (select c_nationkey as k, 'Land ' || c_nationkey as common, count(*)::bigint as population, sum(cast(round(c_acctbal * 100) as bigint))::bigint as area from customer where c_nationkey % 5 <> 1 group by 1),
-p as (select s_nationkey as k, case when s_nationkey % 3 = 0 then '' else 'Realm ' || s_nationkey end as official, case when s_nationkey % 4 = 0 then '' else 'economy of ' || count(*) end as economy, max(s_name) as culture from supplier where s_nationkey % 6 <> 2 group by 1),
+with f as (select c_nationkey as k, 'Land ' || c_nationkey as common, count(*)::bigint as population, sum(cast(round(c_acctbal * 100) as bigint))::bigint as area from customer where c_acctbal > 9000 group by 1),
+p as (select s_nationkey as k, case when s_nationkey % 3 = 0 then '' else 'Realm ' || s_nationkey end as official, case when s_nationkey % 4 = 0 then '' else 'economy of ' || count(*) end as economy, max(s_name) as culture from supplier where s_acctbal > 5000 group by 1),
 j as (select k, coalesce(nullif(official, ''), common, 'Country ' || k) as name, population, area, economy, culture from f full join p using (k))
 select k::bigint as k, name, section, value from (
  select k, name, 'population' as section, population::varchar as value from j union all select k, name, 'area', area::varchar from j union all select k, name, 'economy', economy from j union all select k, name, 'culture', culture from j) where coalesce(value, '') <> ''
 """)
 def dossier_full_outer(t, spark):
-    facts = t("customer").where("c_nationkey % 5 <> 1").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("population"), F.sum(F.round(F.col("c_acctbal") * 100).cast("bigint")).alias("area")).withColumn("common", F.concat(F.lit("Land "), F.col("k")))
-    profile = t("supplier").where("s_nationkey % 6 <> 2").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n"), F.max("s_name").alias("culture"))
+    facts = t("customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("population"), F.sum(F.round(F.col("c_acctbal") * 100).cast("bigint")).alias("area")).withColumn("common", F.concat(F.lit("Land "), F.col("k")))
+    profile = t("supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n"), F.max("s_name").alias("culture"))
     profile = profile.select("k", "culture", F.when(F.col("k") % 3 == 0, "").otherwise(F.concat(F.lit("Realm "), F.col("k"))).alias("official"), F.when(F.col("k") % 4 == 0, "").otherwise(F.concat(F.lit("economy of "), F.col("n"))).alias("economy"))
     both = facts.join(profile, "k", "full").withColumn("name", F.coalesce(S.some(F.col("official")), F.col("common"), F.concat(F.lit("Country "), F.col("k"))))
     rows = both.select("k", "name", *(F.col(c).cast("string").alias(c) for c in ("population", "area", "economy", "culture"))).unpivot(["k", "name"], ["population", "area", "economy", "culture"], "section", "value")
@@ -152,21 +152,21 @@ def ring_area_centroid(t, spark):
 
 
 # Candidates of a query: the documents whose number falls into its slot, in order.
-_CANDIDATE = """select item_id, b.text as query, doc_id, 'File:' || replace(substr(d.text, 1, 60), ' ', '_') || '.jpg' as title,
+_CANDIDATE = """select item_id, b.text as query, doc_id, 'File:' || replace(d.text, ' ', '_') || '.jpg' as title,
  case doc_id % 5 when 0 then 'image/png' when 1 then 'image/svg+xml' when 2 then 'text/plain' else 'image/jpeg' end as mime,
- case when doc_id % 7 = 0 then '' else 'u' || doc_id end as url, case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then null else 't' || doc_id end as thumb,
+ case when doc_id % 7 = 0 then '' else 'u' || doc_id end as url, case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then null when doc_id % 2 = 0 then 't/' || n_chars || 'px-' || doc_id else 't' || doc_id end as thumb,
  (case when doc_id % 11 = 0 then 0 else n_chars % 3000 end)::bigint as width, (n_chars % 1700)::bigint as height, case when doc_id % 13 = 0 then null else doc_id % 17 end as idx
  from documents d join benchmark b on d.doc_id % (select max(item_id) + 1 from benchmark) = b.item_id"""
-_JUNK_SQL = S.junk_pattern().replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b")
+_JUNK_SQL = "(?i)(" + "|".join(S.JUNK_TERMS) + ")"
 
 
 def _candidates(t, spark):
     items = t("benchmark").agg(F.max("item_id")).first()[0] + 1
     d, b, k = t("documents").alias("d"), t("benchmark").alias("b"), F.col("doc_id")
     return d.join(b, k % items == F.col("item_id")).select(
-        "item_id", F.col("b.text").alias("query"), "doc_id", F.concat(F.lit("File:"), F.replace(F.substring("d.text", 1, 60), F.lit(" "), F.lit("_")), F.lit(".jpg")).alias("title"),
+        "item_id", F.col("b.text").alias("query"), "doc_id", F.concat(F.lit("File:"), F.replace("d.text", F.lit(" "), F.lit("_")), F.lit(".jpg")).alias("title"),
         F.when(k % 5 == 0, "image/png").when(k % 5 == 1, "image/svg+xml").when(k % 5 == 2, "text/plain").otherwise("image/jpeg").alias("mime"),
-        F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("u"), k)).alias("url"), F.when(k % 3 == 0, "").when(k % 3 == 1, None).otherwise(F.concat(F.lit("t"), k)).alias("thumb"),
+        F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("u"), k)).alias("url"), F.when(k % 3 == 0, "").when(k % 3 == 1, None).when(k % 2 == 0, F.concat(F.lit("t/"), "n_chars", F.lit("px-"), k)).otherwise(F.concat(F.lit("t"), k)).alias("thumb"),
         F.when(k % 11 == 0, 0).otherwise(F.col("n_chars") % 3000).cast("bigint").alias("width"), (F.col("n_chars") % 1700).cast("bigint").alias("height"), F.when(k % 13 != 0, k % 17).alias("idx"),
     )
 
@@ -175,9 +175,9 @@ def _candidates(t, spark):
 p as (select *, row_number() over (partition by item_id order by coalesce(idx, 9999), doc_id) - 1 as pos from c),
 f as (select *, coalesce(nullif(thumb, ''), nullif(url, '')) as shown, list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'), lambda x: length(x) > 3) as words from p
  where mime like 'image/%' and mime <> 'image/svg+xml' and coalesce(nullif(thumb, ''), nullif(url, '')) is not null and not regexp_matches(title, '{_JUNK_SQL}') and (width = 0 or width >= 500)),
-s as (select item_id, doc_id, shown, case when len(words) = 0 then 0.0 else len(list_filter(words, lambda x: contains(lower(title), x))) / len(words) end * 6 + case when mime = 'image/jpeg' then 4 else 0 end
+s as (select item_id, doc_id, shown, case when regexp_matches(thumb, '/\\d+px-') then regexp_replace(thumb, '/\\d+px-', '/1280px-') else coalesce(nullif(url, ''), shown) end as full_size, title as id, case when len(words) = 0 then 0.0 else len(list_filter(words, lambda x: contains(lower(title), x))) / len(words) end * 6 + case when mime = 'image/jpeg' then 4 else 0 end
  + ln(case when width > 0 and height > 0 then (width * height)::double else 250000 end) * 0.55 + case when width > 0 and height > 0 then least(width, height) / greatest(width, height) else 0.6 end - pos * 0.25 as score, pos from f)
-select item_id, doc_id, shown, round(score, 6) as score, k as rank from (select *, row_number() over (partition by item_id order by round(score, 6) desc, pos) as k from s) where k <= 8""")
+select item_id, doc_id, shown, full_size, id, round(score, 6) as score, k as rank from (select *, row_number() over (partition by item_id order by round(score, 6) desc, pos) as k from s) where k <= 8""")
 def image_relevance_topk(t, spark):
     placed = _candidates(t, spark).withColumn("pos", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("idx", F.lit(9999)), "doc_id")) - 1)
     shown = S.first_of(F.col("thumb"), F.col("url"))
@@ -186,7 +186,7 @@ def image_relevance_topk(t, spark):
     title = F.lower("title")
     share = F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.filter(words, lambda w: F.contains(title, w))) / F.when(F.size(words) > 0, F.size(words)))
     scored = kept.withColumn("score", F.round(S.image_score(share, F.col("mime"), F.col("width"), F.col("height"), F.col("pos")), 6))
-    return lookup.first_by(scored, ["item_id"], [F.desc("score"), "pos"], 8).select("item_id", "doc_id", "shown", "score", "rank")
+    return lookup.first_by(scored.withColumn("full_size", S.full_image(F.col("thumb"), F.col("url"))), ["item_id"], [F.desc("score"), "pos"], 8).select("item_id", "doc_id", "shown", "full_size", F.col("title").alias("id"), "score", "rank")
 
 
 @query(f"select page_id, title, regexp_matches(title, '{_JUNK_SQL}') as junk from (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) || case page_id % 4 when 0 then ' Map of old' when 1 then ' mapuche émap' when 2 then ' family_tree' else ' logos' end as title from pages)")
@@ -196,9 +196,12 @@ def junk_title_filter(t, spark):
     return titled.select("page_id", "title", S.is_junk(F.col("title")).alias("junk"))
 
 
-@query("select source, doc_id, w * h as area from (select *, row_number() over (partition by source order by w * h desc, doc_id) as k from (select source, doc_id, n_chars % 3000 as w, n_chars % 1700 as h from documents where doc_id % 5 > 2 and n_chars % 3000 >= 700)) where k = 1")
+@query("""select source, doc_id, w * h as area from (select *, row_number() over (partition by source order by w * h desc, doc_id) as k from (
+ select source, doc_id, nullif(n_chars % 3000, 0) as w, n_chars % 1700 as h from documents where case lang when 'en' then 'image/jpeg' when 'de' then 'image/png' else 'image/svg+xml' end = 'image/jpeg' and coalesce(text, '') <> '') where w >= 700) where k = 1""")
 def image_fallback_largest(t, spark):
-    own = t("documents").where("doc_id % 5 > 2 and n_chars % 3000 >= 700").select("source", "doc_id", (F.col("n_chars") % 3000 * (F.col("n_chars") % 1700)).alias("area"))
+    mime = F.when(F.col("lang") == "en", "image/jpeg").when(F.col("lang") == "de", "image/png").otherwise("image/svg+xml")
+    found = t("documents").select("source", "doc_id", mime.alias("mime"), F.col("text").alias("url"), F.nullif(F.col("n_chars") % 3000, F.lit(0)).alias("width"), (F.col("n_chars") % 1700).alias("height"))
+    own = found.where((F.col("mime") == "image/jpeg") & S.some(F.col("url")).isNotNull() & (F.col("width") >= 700)).select("source", "doc_id", (F.col("width") * F.col("height")).alias("area"))
     return own.groupBy("source").agg(F.max_by("doc_id", F.struct("area", -F.col("doc_id"))).alias("doc_id"), F.max("area").alias("area"))
 
 
@@ -211,12 +214,39 @@ def preference_union(t, spark):
     return best.select("source", "lang", "m.doc_id", F.col("m.priority").cast("bigint").alias("priority"), "m.used")
 
 
-@query("select conv_id, turn, q as query from (select *, row_number() over (partition by conv_id, lower(trim(q)) order by turn) as k from (select conv_id, turn, case when turn % 3 = 0 then ' ' || upper(role) else role end as q from conversations) where trim(q) <> '') where k = 1")
+_ASKED = "select conv_id, turn, case when turn % 3 = 0 then ' ' || translate(text, 'aeiou', 'AEIOU') else text end as q from conversations"
+
+
+@query(f"select conv_id, turn, q as query from (select *, row_number() over (partition by conv_id, lower(trim(q)) order by turn) as k from ({_ASKED}) where trim(q) <> '') where k = 1")
 def query_dedupe(t, spark):
-    asked = t("conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" "), F.upper("role"))).otherwise(F.col("role")).alias("query")).where(F.trim("query") != "")
+    asked = t("conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" "), F.translate("text", "aeiou", "AEIOU"))).otherwise(F.col("text")).alias("query")).where(F.trim("query") != "")
     return lookup.first_by(asked.withColumn("key", F.lower(F.trim("query"))), ["conv_id", "key"], ["turn"]).select("conv_id", "turn", "query")
 
 
+@query(f"""with q as (select conv_id, turn, q, row_number() over (partition by conv_id, lower(trim(q)) order by turn) as k from ({_ASKED}) where trim(q) <> ''),
+g as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as place from q where k = 1),
+a as (select conv_id, turn, place, case when role = 'user' then null else 'p' || length(text) % 7 end as photo from g join conversations using (conv_id, turn) where place <= 8),
+f as (select conv_id, photo, min(place) as place from a where photo is not null group by all)
+select conv_id, photo, place, row_number() over (partition by conv_id order by place) as rank from f qualify rank <= 10""")
+def gallery(t, spark):
+    asked = t("conversations").select("conv_id", "turn", "role", "text", F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" "), F.translate("text", "aeiou", "AEIOU"))).otherwise(F.col("text")).alias("query")).where(F.trim("query") != "")
+    distinct = lookup.first_by(asked.withColumn("key", F.lower(F.trim("query"))), ["conv_id", "key"], ["turn"])
+    eight = lookup.first_by(distinct, ["conv_id"], ["turn"], 8, "place")
+    found = eight.select("conv_id", "place", F.when(F.col("role") != "user", F.concat(F.lit("p"), F.length("text") % 7)).alias("photo")).where("photo is not null")
+    photos = found.groupBy("conv_id", "photo").agg(F.min("place").alias("place"))
+    return lookup.first_by(photos, ["conv_id"], ["place"], 10).select("conv_id", "photo", F.col("place").cast("bigint").alias("place"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("select p_brand, array_to_string(list_sort(list(distinct p_name)), '|') as names from part group by 1")
+def alphabetical_names(t, spark):
+    return t("part").groupBy("p_brand").agg(F.concat_ws("|", F.array_sort(F.collect_set("p_name"))).alias("names"))
+
+
+@query("select doc_id, trim(coalesce(lang, '') || ' ' || coalesce(source, '')) as query from documents")
+def era_fallback_query(t, spark):
+    return t("documents").select("doc_id", S.fallback_query(F.col("lang"), F.col("source")).alias("query"))
+
+
 @query("""with recursive q as (select o_custkey as g, row_number() over (partition by o_custkey order by o_orderkey) as k, [o_orderkey % 5, o_orderkey % 7, o_orderkey % 11] as c from orders),
 f as (select g, 1::bigint as k, [c[1]] as taken from q where k = 1 union all select f.g, q.k, list_append(taken, list_filter(c, lambda x: not list_contains(taken, x))[1]) from f join q on q.g = f.g and q.k = f.k + 1)
 select g as o_custkey, array_to_string(list_transform(taken, lambda x: coalesce(x::varchar, '-')), ',') as picks from (select *, row_number() over (partition by g order by k desc) as last from f) where last = 1""")
@@ -248,13 +278,13 @@ def round_scores(t, spark):
     return _plays(t).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "km", "ls", "ts", (F.col("ls") + F.col("ts")).alias("rs"))
 
 
-@query(f"""with r as (select p_partkey, {_ROUND} from part), g as (select l_partkey, min(l_orderkey) as l_orderkey from lineitem where l_orderkey % 9 = 0 group by 1),
+@query(f"""with r as (select p_partkey, {_ROUND} from part), g as (select l_partkey, min(l_orderkey) as l_orderkey from lineitem where l_quantity >= 49 group by 1),
 j as (select p_partkey, lat, lng, year, tol, case when l_orderkey is not null then l_orderkey * 3 % 181 - 90 end as glat, l_orderkey * 11 % 360 - 180 as glng, coalesce(l_orderkey % 5026 - 3000, 1000) as gy from r left join g on p_partkey = l_partkey),
 k as (select *, round({_KM}, 6) as km from j)
 select p_partkey, km, coalesce(floor(5000 * exp(-km / 1500) + 0.5), 0)::bigint as ls, floor(5000 * exp(-abs(gy - year) / tol) + 0.5)::bigint as ts from k""")
 def timed_out_rounds(t, spark):
     rounds = t("part").selectExpr("p_partkey", *_ROUND.split(", "))
-    guesses = t("lineitem").where("l_orderkey % 9 = 0").groupBy("l_partkey").agg(F.min("l_orderkey").alias("l_orderkey")).selectExpr("l_partkey", *_GUESS.split(", "))
+    guesses = t("lineitem").where("l_quantity >= 49").groupBy("l_partkey").agg(F.min("l_orderkey").alias("l_orderkey")).selectExpr("l_partkey", *_GUESS.split(", "))
     joined = rounds.join(guesses, F.col("p_partkey") == F.col("l_partkey"), "left")
     km = F.round(S.haversine_km(*(F.col(c).cast("double") for c in ("lat", "lng", "glat", "glng"))), 6)
     return joined.withColumn("km", km).select("p_partkey", "km", F.coalesce(S.location_score(F.col("km")), F.lit(0).cast("bigint")).alias("ls"), S.time_score(F.coalesce("gy", F.lit(1000)) - F.col("year"), F.col("tol")).alias("ts"))
@@ -270,6 +300,12 @@ def game_totals_tiers(t, spark):
     return games.select("l_orderkey", "total", F.concat_ws("", F.transform("s", lambda x: x["e"])).alias("emojis"), S.half_up(F.col("total") / most * 100).cast("bigint").alias("percent"), S.rank_title(F.col("total"), most).alias("title"))
 
 
+@query(f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, sum(ls + ts) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding)::bigint as running from ({_PLAYS})")
+def running_totals(t, spark):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
+    return _plays(t).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.sum(F.col("ls") + F.col("ts")).over(order).alias("running"))
+
+
 GOLDEN = [(1, "32,30,37,43,9"), (2, "14,40,23,31,12"), (158, "19,32,4,41,15"), (330, "3,2,16,13,0")]
 
 
@@ -297,12 +333,11 @@ def neighbours_nav(t, spark):
 
 @query("select conv_id, i::bigint as i, repeat('X', i // 10) || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][i % 10 + 1] as roman, role from (select *, (row_number() over (partition by conv_id order by turn))::int as i from conversations)")
 def timeline_roman(t, spark):
-    eras = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("eras"))
-    each = eras.select("conv_id", F.posexplode("eras").alias("i", "era")).withColumn("i", F.col("i") + 1)
-    return each.select("conv_id", F.col("i").cast("bigint").alias("i"), S.roman(F.col("i")).alias("roman"), F.col("era.role").alias("role"))
+    i = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t("conversations").select("conv_id", i.cast("bigint").alias("i"), "role").select("conv_id", "i", S.roman(F.col("i")).alias("roman"), "role")
 
 
-_TITLE = "'File:' || replace(substr(text, 1, 50), ' ', '_') || case doc_id % 4 when 0 then ' - Archive 12' when 1 then ' (no 47902) x' when 2 then ', Photo 3 of 8, photo 4 of 8' else ',, ' end || '.jpg'"
+_TITLE = "'File:' || replace(text, ' ', '_') || case doc_id % 4 when 0 then ' - Archive 12' when 1 then ' (no 47902) x' when 2 then ', Photo 3 of 8, photo 4 of 8' else ',, ' end || '.jpg'"
 
 
 @query(rf"""with t as (select doc_id, {_TITLE} as title from documents),
@@ -312,13 +347,14 @@ select doc_id, trim(regexp_replace(regexp_replace(c, '\s{{2,}}', ' ', 'g'), '[,\
 case when lang = 'en' then 'x' else 'x en' end as short from b join (select doc_id, lang from documents) using (doc_id)""")
 def captions(t, spark):
     k = F.col("doc_id") % 4
-    docs = t("documents").select("doc_id", "lang", F.concat(F.lit("File:"), F.replace(F.substring("text", 1, 50), F.lit(" "), F.lit("_")), F.when(k == 0, " - Archive 12").when(k == 1, " (no 47902) x").when(k == 2, ", Photo 3 of 8, photo 4 of 8").otherwise(",, "), F.lit(".jpg")).alias("title"))
+    docs = t("documents").select("doc_id", "lang", F.concat(F.lit("File:"), F.replace("text", F.lit(" "), F.lit("_")), F.when(k == 0, " - Archive 12").when(k == 1, " (no 47902) x").when(k == 2, ", Photo 3 of 8, photo 4 of 8").otherwise(",, "), F.lit(".jpg")).alias("title"))
     return docs.select("doc_id", S.title_caption(F.col("title")).alias("caption"), S.clean_subject(F.col("title")).alias("subject"), S.subject_caption(F.lit("x en"), F.col("lang")).alias("short"))
 
 
-@query("""select page_id, replace(replace(replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as safe from pages""")
+@query("""select page_id, replace(replace(replace(replace(replace(coalesce(html, 'null'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as safe, replace(replace(replace(replace(replace(coalesce(anchor, 'null'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as in_app, replace(replace(replace(replace(replace(coalesce(anchor, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as in_game from (select *, case when contains(url, '#') then substr(url, strpos(url, '#')) || '<&"''>' end as anchor from pages)""")
 def html_escape(t, spark):
-    return t("pages").select("page_id", S.escape_html(F.substring("html", 1, 200)).alias("safe"))
+    anchor = F.when(F.contains("url", F.lit("#")), F.concat(F.substr("url", F.locate("#", "url")), F.lit("<&\"'>")))
+    return t("pages").select("page_id", S.escape_html(F.col("html")).alias("safe"), S.escape_html(anchor).alias("in_app"), S.escape_html(anchor, "").alias("in_game"))
 
 
 @query("select o_orderkey, case when y < 0 then (-y)::varchar || ' BCE' else y::varchar || ' CE' end as year, case when km < 1 then 'less than 1 km' when km < 20 then floor(km + 0.5)::bigint::varchar || ' km' else format('{:,}', floor(km + 0.5)::bigint) || ' km' end as km from (select o_orderkey, (o_orderkey % 5026 - 3000)::bigint as y, o_orderkey % 31 * (o_orderkey % 17) * 7 / 16.0 as km from orders)")
@@ -327,13 +363,18 @@ def format_year_km(t, spark):
     return own.select("o_orderkey", S.format_year(F.col("y")).alias("year"), S.format_km(F.col("km")).alias("km"))
 
 
-@query(r"""with u as (select page_id, url || case when contains(url, '?') then '&' else '?' end || 'country=%20New+Land%20&country=x#a%20b' as url from pages where not contains(url, '#'))
+@query(r"""with p as (select page_id, url, case when contains(url, '#') then substr(url, 1, strpos(url, '#') - 1) else url end as base, case when contains(url, '#') then substr(url, strpos(url, '#')) else '#a%20b' end as anchor from pages),
+u as (select page_id, url as own, base || case when contains(base, '?') then '&' else '?' end || 'country=%20New+Land%20&country=x' || anchor as url from p)
 select page_id, trim(url_decode(replace(nullif(regexp_extract(url, '[?&]country=([^&#]*)', 1), ''), '+', ' '))) as country, nullif(trim(coalesce(url_decode(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '')), '')), '') as page, trim(url_decode(substr(url, strpos(url, '#') + 1))) as anchor,
-'a%20b*c%2B!''()~' as encoded from u""")
+replace(replace(replace(replace(url_encode(own || ' !''()~'), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')') as encoded from u""")
 def url_params(t, spark):
-    own = t("pages").where(~F.contains("url", F.lit("#"))).select("page_id", F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("country=%20New+Land%20&country=x#a%20b")).alias("url"))
+    own = F.col("url")
+    cut = F.locate("#", "url")
+    base = F.when(cut > 0, F.substr(own, F.lit(1), cut - 1)).otherwise(own)
+    anchor = F.when(cut > 0, F.substr(own, cut)).otherwise("#a%20b")
+    asked = t("pages").select("page_id", own.alias("own"), F.concat(base, F.when(F.contains(base, F.lit("?")), "&").otherwise("?"), F.lit("country=%20New+Land%20&country=x"), anchor).alias("url"))
     url = F.col("url")
-    return own.select("page_id", S.query_value(url, "country").alias("country"), S.query_value(url, "page").alias("page"), S.fragment(url).alias("anchor"), S.encode_component(F.lit("a b*c+!'()~")).alias("encoded"))
+    return asked.select("page_id", S.query_value(url, "country").alias("country"), S.query_value(url, "page").alias("page"), S.fragment(url).alias("anchor"), S.encode_component(F.concat("own", F.lit(" !'()~"))).alias("encoded"))
 
 
 @query("select event_id, coalesce(nullif(trim(list_extract(string_split(xff, ','), -1)), ''), peer) as ip from (select event_id, case event_id % 3 when 0 then null when 1 then '1.1.1.1, 10.0.0.' || user_id || ' ' else '9.9.9.9,' end as xff, '127.0.0.' || (user_id % 9) as peer from events)")
@@ -491,8 +532,8 @@ def saved_state(t, spark):
 
 @query("select conv_id, turn, 'Page ' || i || ' of ' || n as page, i = 1 as first, i = n as last, greatest(0, least(n - 1, i + 2)) as clamped from (select *, row_number() over (partition by conv_id order by turn) as i, count(*) over (partition by conv_id) as n from conversations)")
 def story_pages(t, spark):
-    beats = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("beats"))
-    each = beats.select("conv_id", F.size("beats").cast("bigint").alias("n"), F.posexplode("beats").alias("i", "turn")).withColumn("i", F.col("i").cast("bigint") + 1)
+    own = Window.partitionBy("conv_id")
+    each = t("conversations").select("conv_id", "turn", F.count("*").over(own).alias("n"), F.row_number().over(own.orderBy("turn")).cast("bigint").alias("i"))
     return each.select("conv_id", "turn", F.concat(F.lit("Page "), "i", F.lit(" of "), "n").alias("page"), (F.col("i") == 1).alias("first"), (F.col("i") == F.col("n")).alias("last"), F.greatest(F.lit(0).cast("bigint"), F.least(F.col("n") - 1, F.col("i") + 2)).alias("clamped"))
 
 
@@ -523,3 +564,70 @@ def slow_requests(t, spark):
     following = F.lead("at").over(Window.partitionBy("key").orderBy("at", "id"))
     own = _calls(t).withColumn("took", following - F.col("at"))
     return own.select(F.col("id").alias("event_id"), "took", F.coalesce(F.col("took") > 6 * 3600 * 1_000_000, F.lit(True)).alias("aborted"))
+
+
+_QUEUE = [(seed, i, int(k)) for seed, first in GOLDEN for i, k in enumerate(first.split(","))]
+
+
+@query(f"select seed::bigint as seed, i::bigint as i, p_partkey, p_name from {values(_QUEUE, 'seed, i, k')} join (select p_partkey, p_name, row_number() over (order by p_partkey) - 1 as ordinal from part) on ordinal = k")
+def daily_rounds(t, spark):
+    """The rounds of a day's game by their place among all rounds."""
+    picked = lookup.dimension(spark, [(s,) for s, _ in GOLDEN], "seed bigint").select("seed", F.posexplode(F.slice(S.permutation(F.col("seed"), 44), 1, 5)).alias("i", "k"))
+    # Places under 44 are found among the first 44 rounds: no order of all is needed.
+    first = t("part").select("p_partkey", "p_name").orderBy("p_partkey").limit(44)
+    places = first.withColumn("k", F.row_number().over(Window.orderBy("p_partkey")) - 1)
+    return picked.join(places, "k").select("seed", F.col("i").cast("bigint").alias("i"), "p_partkey", "p_name")
+
+
+@query("""select c_custkey, round(degrees(case when rho = 0 then radians(30.0) else asin(cos(c) * sin(radians(30)) + y * sin(c) * cos(radians(30)) / rho) end), 6) + 0 as lat from (
+ select *, sqrt(x * x + y * y) as rho, case when x * x + y * y <= 1 then asin(sqrt(x * x + y * y)) end as c from (select c_custkey, (c_custkey % 41 - 20) / 16.0 as x, (c_custkey % 37 - 18) / 16.0 as y from customer)) where true""")
+def inverse_projection(t, spark):
+    own = t("customer").select("c_custkey", ((F.col("c_custkey") % 41 - 20) / 16.0).alias("x"), ((F.col("c_custkey") % 37 - 18) / 16.0).alias("y"))
+    lat, _ = S.orthographic_inverse(F.col("x"), F.col("y"), F.lit(30.0), F.lit(20.0))
+    return own.select("c_custkey", (F.round(lat, 6) + 0.0).alias("lat"))
+
+
+@query("""with c as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as page, dense_rank() over (order by conv_id) as era, count(*) over (partition by conv_id) as n from conversations)
+select conv_id, turn, case when page + 1 < n then conv_id else (select min(d.conv_id) from conversations d where d.conv_id > c.conv_id) end as next_era, case when page + 1 < n then page + 1 when conv_id < (select max(conv_id) from conversations) then 0 end as next_page,
+ case when page > 0 then conv_id else (select max(d.conv_id) from conversations d where d.conv_id < c.conv_id) end as last_era, case when page > 0 then page - 1 when conv_id > (select min(conv_id) from conversations) then 0 end as last_page from c""")
+def page_rollover(t, spark):
+    """Turning the page beyond an era's edge leads to page 0 of the neighbouring era, in both directions."""
+    own = Window.partitionBy("conv_id")
+    pages = t("conversations").select("conv_id", "turn", (F.row_number().over(own.orderBy("turn")) - 1).cast("bigint").alias("page"), F.count("*").over(own).alias("n"))
+    # Neighbours by place, found by a range sort and a join; a window over all eras would be one task.
+    eras = t("conversations").groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id")
+    near = lookup.neighbours(eras, "conv_id")
+    nxt, prev = F.col("page") + 1 < F.col("n"), F.col("page") > 0
+    return pages.join(near, "conv_id").select("conv_id", "turn", F.when(nxt, F.col("conv_id")).otherwise(F.col("after")).alias("next_era"), F.when(nxt, F.col("page") + 1).when(F.col("after").isNotNull(), 0).cast("bigint").alias("next_page"), F.when(prev, F.col("conv_id")).otherwise(F.col("before")).alias("last_era"), F.when(prev, F.col("page") - 1).when(F.col("before").isNotNull(), 0).cast("bigint").alias("last_page"))
+
+
+_ENDPOINT = f"""with r as ({_REQ.replace("select event_id,", "select event_id, user_id, ts,")}),
+q as (select *, method = 'HEAD' and path like '/api/%' as head, {_STATUS} = 400 as bad, lower(trim(country)) || '|' || path || '|' || trim(era) as k, event_type = 'error' as failed from r join (select event_id, event_type from events) using (event_id)),
+c as (select *, path like '/api/%' and not head and not bad as asks from q),
+h as (select *, row_number() over (partition by k, asks and not failed order by ts, event_id) as n, min(case when asks and not failed then ts end) over (partition by k) as filled from c),
+d as (select *, asks and not (not failed and n > 1) and not (failed and coalesce(filled < ts, false)) as calls from h),
+b as (select *, coalesce(sum(case when calls and not failed then 1 else 0 end) over (partition by ts::date order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as spent from d)
+select event_id, case when head then 'head' when path not like '/api/%' then 'static' when bad then 'rejected' when not calls then 'hit' when spent >= 40 then 'quota' when failed then 'refunded' else 'computed' end as step,
+ case when head or path not like '/api/%' then 200 when bad then 400 when not calls then 200 when spent >= 40 then 429 when failed then 502 else 200 end as status from b"""
+
+
+@query(_ENDPOINT)
+def endpoint_order(t, spark):
+    """What answers a request: a HEAD, a file, validation, the cache, the day's quota, a failed call that is refunded, or a call.
+
+    The cache of a key is filled by its first request that does not fail.
+    """
+    events = t("events").select("event_id", (F.col("event_type") == "error").alias("failed"))
+    country, era, period, api = F.trim("country"), F.trim("era"), F.trim("period"), F.startswith("path", F.lit("/api/"))
+    bad = api & (F.col("method") != "HEAD") & ((country == "") | (F.length(country) > 60) | ((F.col("path") == "/api/story") & ((era == "") | (F.length(era) > 80) | (F.length(period) > 40))))
+    asked = _requests(t).join(events, "event_id").select("event_id", "ts", "failed", (api & (F.col("method") == "HEAD")).alias("head"), api.alias("api"), bad.alias("bad"), F.concat_ws("|", F.lower(country), "path", era).alias("k"))
+    asked = asked.withColumn("asks", F.col("api") & ~F.col("head") & ~F.col("bad"))
+    ready = F.col("asks") & ~F.col("failed")
+    n = F.row_number().over(Window.partitionBy("k", ready).orderBy("ts", "event_id"))
+    filled = F.min(F.when(ready, F.col("ts"))).over(Window.partitionBy("k"))
+    calls = F.col("asks") & ~(~F.col("failed") & (n > 1)) & ~(F.col("failed") & F.coalesce(filled < F.col("ts"), F.lit(False)))
+    called = asked.withColumn("calls", calls)
+    paid = limits.daily_quota(called.where("calls").withColumn("at", F.col("ts")).withColumn("id", F.col("event_id")), cap=40, failed=F.col("failed"), day=F.to_date("ts")).select("event_id", "outcome")
+    both = called.join(paid, "event_id", "left")
+    step = F.when(F.col("head"), "head").when(~F.col("api"), "static").when(F.col("bad"), "rejected").when(~F.col("calls"), "hit").when(F.col("outcome") == "rejected", "quota").when(F.col("outcome") == "refunded", "refunded").otherwise("computed")
+    return both.select("event_id", step.alias("step")).select("event_id", "step", F.when(F.col("step") == "rejected", 400).when(F.col("step") == "quota", 429).when(F.col("step") == "refunded", 502).otherwise(200).alias("status"))
