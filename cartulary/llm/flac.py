@@ -16,6 +16,8 @@ BLOCK = 1024
 #: Frames that are coded together.
 FRAMES = 2048
 RATE = 8000
+#: Coefficients of the linear predictor that each frame may have, their bits and shift.
+ORDER, PRECISION, SHIFT = 4, 10, 8
 
 # Fixed values of the format: generator polynomials, coefficients of the fixed predictors.
 _POLY8, _POLY16 = 0x07, 0x8005
@@ -92,25 +94,42 @@ def _header(number: int, size: int) -> bytes:
     return bytes([0xFF, 0xF8, code << 4, 1 << 1]) + _number(number) + (b"" if code == 10 else (size - 1).to_bytes(2, "big"))
 
 
-def _predicted(x: np.ndarray, coefficients: tuple[int, ...], shift: int) -> np.ndarray:
+def _predicted(x: np.ndarray, coefficients: np.ndarray, shift: int) -> np.ndarray:
+    """coefficients: of all rows of x, or a row for each."""
     out = np.zeros_like(x)
-    for j, c in enumerate(coefficients):
-        out[:, j + 1 :] += c * x[:, : x.shape[1] - j - 1]
+    for j in range(coefficients.shape[-1]):
+        out[:, j + 1 :] += coefficients[..., j : j + 1] * x[:, : x.shape[1] - j - 1]
     return out >> shift
 
 
+def _best_linear(x: np.ndarray) -> np.ndarray:
+    """The quantised linear predictor of each row, by the Levinson recursion on its autocorrelation."""
+    y = x.astype(np.float64)
+    r = np.stack([(y[:, k:] * y[:, : y.shape[1] - k]).sum(axis=1) for k in range(ORDER + 1)], axis=1)
+    r[:, 0] = r[:, 0] * 1.0001 + 1
+    c, error = np.zeros((len(x), ORDER)), r[:, 0].copy()
+    for k in range(ORDER):
+        turn = (r[:, k + 1] - (c[:, :k] * r[:, k:0:-1]).sum(axis=1)) / error
+        c[:, :k], c[:, k] = c[:, :k] - turn[:, None] * c[:, :k][:, ::-1], turn
+        error *= 1 - turn * turn
+    most = 1 << PRECISION - 1
+    return np.clip(np.rint(c * (1 << SHIFT)), -most, most - 1).astype(np.int32)
+
+
 def _encoded_frames(x: np.ndarray, size: np.ndarray, number: np.ndarray, lpc: tuple | None) -> list[bytes]:
-    """Frames of one row of x each; size: samples in the row, the rest is padding.  lpc: (coefficients, precision, shift) to use instead of the fixed predictors."""
+    """Frames of one row of x each; size: samples in the row, the rest is padding.  lpc: (coefficients, precision, shift) to use in all frames."""
     f, width = x.shape
     inside = np.arange(width) < size[:, None]
-    options = [(c, 0) for c in FIXED[:3]] if lpc is None else [(lpc[0], lpc[2])]
+    taps, precision, shift = (_best_linear(x), PRECISION, SHIFT) if lpc is None else (np.tile(np.array(lpc[0], np.int32), (f, 1)), lpc[1], lpc[2])
+    options = [(taps, shift, True), *((np.array(c, np.int32), 0, False) for c in FIXED[:3] if lpc is None)]
     best = np.full(f, np.iinfo(np.int64).max)
-    order, residual = np.zeros(f, np.int64), np.zeros_like(x)
-    for coefficients, shift in options:
-        r = x - _predicted(x, coefficients, shift)
-        own = np.abs(np.where(inside, r, 0))[:, len(coefficients) :].sum(axis=1, dtype=np.int64)
+    order, residual, linear = np.zeros(f, np.int64), np.zeros_like(x), np.zeros(f, bool)
+    for coefficients, down, general in options:
+        p = coefficients.shape[-1]
+        r = x - _predicted(x, coefficients, down)
+        own = np.abs(np.where(inside, r, 0))[:, p:].sum(axis=1, dtype=np.int64)
         better = own < best
-        best[better], order[better] = own[better], len(coefficients)
+        best[better], order[better], linear[better] = own[better], p, general
         residual[better] = r[better]
     zigzag = np.where(residual >= 0, residual << 1, (-residual << 1) - 1)
     coded = inside & (np.arange(width) >= order[:, None])
@@ -127,7 +146,7 @@ def _encoded_frames(x: np.ndarray, size: np.ndarray, number: np.ndarray, lpc: tu
     cost = np.stack([np.bincount(cell, z >> np.clip(guess + d, 0, 14)[cell], minlength=cells) + count * (np.clip(guess + d, 0, 14) + 1) for d in (-1, 0, 1)])
     k = np.clip(guess + cost.argmin(axis=0) - 1, 0, 14)
     quotient = z >> k[cell]
-    extra = 0 if lpc is None else 9 + lpc[1] * len(lpc[0])
+    extra = np.where(linear, 9 + precision * order, 0)
     rice = np.bincount(cell >> split, quotient + 1 + k[cell], minlength=f).astype(np.int64)
     body = 8 + 8 * order + extra + 6 + 4 * parts + rice
     constant = np.where(inside, x == x[:, :1], True).all(axis=1) & (lpc is None)
@@ -140,7 +159,7 @@ def _encoded_frames(x: np.ndarray, size: np.ndarray, number: np.ndarray, lpc: tu
     start = np.cumsum(length) - length
     bit = 8 * (start + head)
     out = _Bits()
-    kind = np.where(constant, 0, np.where(verbatim, 1, (8 if lpc is None else 31) + order))
+    kind = np.where(constant, 0, np.where(verbatim, 1, np.where(linear, 31, 8) + order))
     out.add(bit + 8, kind << 1, 8)
     out.add(bit[constant] + 16, x[constant, 0] & 0xFF, 8)
     row, at = np.nonzero(inside & verbatim[:, None])
@@ -148,13 +167,12 @@ def _encoded_frames(x: np.ndarray, size: np.ndarray, number: np.ndarray, lpc: tu
     row, at = np.nonzero((np.arange(width) < order[:, None]) & rich[:, None])
     out.add(bit[row] + 16 + 8 * at, x[row, at] & 0xFF, 8)
     bit = bit + 8 + 8 * order
-    if lpc is not None:
-        own = bit[rich]
-        out.add(own + 4, np.full(len(own), lpc[1] - 1), 4)
-        out.add(own + 9, np.full(len(own), lpc[2]), 5)
-        for j, c in enumerate(lpc[0]):
-            out.add(own + 9 + (j + 1) * lpc[1], np.full(len(own), c & (1 << lpc[1]) - 1), lpc[1])
-        bit = bit + extra
+    own = np.flatnonzero(rich & linear)
+    out.add(bit[own] + 4, np.full(len(own), precision - 1), 4)
+    out.add(bit[own] + 9, np.full(len(own), shift), 5)
+    for j in range(taps.shape[1]):
+        out.add(bit[own] + 9 + (j + 1) * precision, taps[own, j] & (1 << precision) - 1, precision)
+    bit = bit + extra
     out.add(bit[rich] + 6, np.where(parts > 1, split, 0)[rich], 6)
     # Each residual takes quotient zeros, a one and k bits; a partition's first is preceded by its k.
     first = np.zeros(len(z), bool)
@@ -342,12 +360,20 @@ def _samples(words: np.ndarray, bit: np.ndarray, size: np.ndarray) -> tuple[np.n
         e = rich[warm > j]
         x[e, j] = signed(_bits_at(words, pos[e] + 8 * j, 8))
     pos[rich] += 8 * warm
-    taps: dict[int, tuple[list[int], int]] = {}
-    for e in np.flatnonzero(linear).tolist():
-        precision, shift = int(_bits_at(words, pos[e : e + 1], 4)[0]) + 1, int(_bits_at(words, pos[e : e + 1] + 4, 5)[0])
-        own = [int(signed(_bits_at(words, pos[e : e + 1] + 9 + j * precision, precision), precision)[0]) for j in range(int(order[e]))]
-        taps[e] = (own, shift)
-        pos[e] += 9 + precision * int(order[e])
+    # Rows of coefficients; the fixed predictors of orders over 2 are linear ones without a shift.
+    taps, shift = np.zeros((len(bit), 32), np.int64), np.zeros(len(bit), np.int64)
+    for p in (3, 4):
+        taps[(kind == 8 + p), :p] = FIXED[p]
+    own = np.flatnonzero(linear)
+    precision = _bits_at(words, pos[own], 4) + 1
+    shift[own] = _bits_at(words, pos[own] + 4, 5)
+    if (precision == 16).any() or (shift[own] > 15).any():
+        raise ValueError("reserved precision or negative shift of a linear predictor")
+    for j in range(int(order[own].max(initial=0))):
+        more = order[own] > j
+        e = own[more]
+        taps[e, j] = signed(_bits_at(words, pos[e] + 9 + j * precision[more], precision[more]), precision[more])
+    pos[own] += 9 + precision * order[own]
     r, pos[rich] = _residuals(words, pos[rich], size[rich], warm, width)
     for p in (0, 1, 2):
         own = np.flatnonzero((warm == p) & ~linear[rich])
@@ -362,13 +388,20 @@ def _samples(words: np.ndarray, bit: np.ndarray, size: np.ndarray) -> tuple[np.n
             d = r[own, 1:].copy()
             d[:, 0] = x[e, 1] - x[e, 0]
             x[e, 1:] = x[e, :1] + np.cumsum(np.cumsum(d, axis=1), axis=1)
-    general = [(e, row) for row, e in enumerate(rich.tolist()) if e in taps or warm[row] > 2]
-    for e, row in general:
-        coefficients, shift = taps.get(e, (list(FIXED[min(4, int(warm[row]))]), 0))
-        p, line = len(coefficients), x[e].tolist()
-        for i in range(p, int(size[e])):
-            line[i] = int(r[row, i]) + (sum(c * line[i - j - 1] for j, c in enumerate(coefficients)) >> shift)
-        x[e] = line
+    # All other frames in step, sample by sample, those of an order together.
+    for p in np.unique(warm[linear[rich] | (warm > 2)]).tolist():
+        own = np.flatnonzero((warm == p) & (linear[rich] | (p > 2)))
+        e = rich[own]
+        own = own[np.argsort(-size[e], kind="stable")]
+        e = rich[own]
+        line, c, down, rest = x[e].T.astype(np.int64), taps[e, :p].T, shift[e], r[own].T
+        for i in range(p, int(size[e[0]])):
+            m = int(np.searchsorted(-size[e], -i, "left"))  # frames with more than i samples
+            guess = c[0, :m] * line[i - 1, :m]
+            for j in range(1, p):
+                guess += c[j, :m] * line[i - j - 1, :m]
+            line[i, :m] = rest[i, :m] + (guess >> down[:m])
+        x[e] = line.T
     return x, pos
 
 

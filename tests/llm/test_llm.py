@@ -130,7 +130,7 @@ def test_packing_covers_every_id(spark, docs):
         assert at == 64 or k == max(by_sequence)
 
 
-@pytest.mark.parametrize("lpc", [None, ((7, -3, 1), 5, 2)])
+@pytest.mark.parametrize("lpc", [None, ((7, -3, 1), 5, 2), ((200, -60, 9, 3, -2, 1), 10, 8)])
 def test_flac_round_trip(lpc):
     rng = np.random.default_rng(1)
     payloads = [bytes(64), b"a" * 128, rng.integers(0, 256, 4992, dtype=np.uint8).tobytes(), b"some text here. " * 300, b"x" * 3000 + bytes(72)]
@@ -143,6 +143,21 @@ def test_flac_round_trip(lpc):
         flac.decode([bytes(broken)])
 
 
+def test_flac_frames_have_linear_predictors_and_seek_finds_any_sample():
+    rng = np.random.default_rng(8)
+    text = " ".join(prose(800 + k, 60) for k in range(40)).encode()
+    payload = text + bytes(-len(text) % 64)
+    stream = flac.encode([payload])[0]
+    meta, kinds = flac.Stream(stream), []
+    for at in meta.offset.tolist():
+        head, _, _ = flac._frame_head(stream, at, meta.block)
+        kinds.append(stream[at + head] >> 1 & 63)
+    assert sum(k >= 32 for k in kinds) > len(kinds) / 2 and flac.decode([stream, flac.encode([b"a" * 64])[0]]) == [payload, b"a" * 64]
+    for at in rng.integers(0, len(payload), 60).tolist():
+        n = int(rng.integers(0, 3000))
+        assert flac.seek(stream, at, n) == payload[at : at + n]
+
+
 def test_media(spark, docs):
     for r in media.describe(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
         raw = (r["text"] or "").encode()
