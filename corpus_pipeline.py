@@ -16,8 +16,14 @@ from cartulary.llm.workspace import Workspace
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    return quality.judge(docs).where("keep").select(docs.columns)
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts, which have no words, are rejected; equal texts share their
+    fate, so repeated rows stay or go together; a text of any length is judged whole;
+    columns named like the classifier's are kept as they are; an empty table stays empty.
+    """
+    own = {c: f"_own_{c}" for c in ("posterior", "quality", "keep") if c in docs.columns}
+    return quality.judge(docs.withColumnsRenamed(own)).where("keep").select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def keep_first_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +31,8 @@ def keep_first_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by a number of their own, so repeated rows of one doc_id are
     copies of each other, and rows without a doc_id stay unless they have a partner.
-    Texts without words have no partner: all their rows stay.
+    Texts without words have no partner: all their rows stay.  Texts of any length
+    are compared whole; other columns stay as they are; an empty table stays empty.
     """
     rows = Workspace(spark, "first-copy").table("rows", docs.withColumn("_row", F.monotonically_increasing_id()))
     groups = ngram_join.join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
@@ -34,17 +41,30 @@ def keep_first_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
+    """Documents that hold an item of the benchmark go.
+
+    Rows without a text or a doc_id stay; repeated rows stay or go together; an empty
+    benchmark lets all stay; texts of any length are compared whole.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; all documents stay."""
+    """Secrets are masked; all documents stay, with all columns and n_chars to match.
+
+    Null texts stay null, a null source is an empty path, repeated rows are masked
+    alike, texts of any length whole; an empty table stays empty.
+    """
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of the packed sequences."""
+    """A row per piece of the packed sequences.
+
+    Null and empty texts are packed as their end id, repeated rows as often as they
+    occur, texts of any length are cut where windows end; a null source is a queue of
+    its own; an empty table gives no pieces.
+    """
     return packing.pack(docs, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
