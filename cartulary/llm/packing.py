@@ -121,7 +121,7 @@ def cut(placed: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                doc, n, o, low, high, total = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "n_tokens", "o", "low", "high", "total"))
+                n, o, low, high, total = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n_tokens", "o", "low", "high", "total"))
                 raw = part.column("ids").to_pylist()
                 wide = [np.frombuffer(x, "<u4" if len(x) == 4 * k else "<u2").astype("<u4").tobytes() for x, k in zip(raw, n)]
                 first, last = _window_of(o, low, high, total, window), _window_of(o + n - 1, low, high, total, window)
@@ -138,7 +138,7 @@ def cut(placed: DataFrame, window: int) -> DataFrame:
                 start, stop = start - o[row], stop - o[row]
                 crc = [zlib.crc32(memoryview(wide[i])[4 * a : 4 * b]) for i, a, b in zip(row.tolist(), start.tolist(), stop.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[row]), pa.array(start), pa.array(stop - start), pa.array(crc, pa.int64()), pa.array(n[row]), pa.array(w), pa.array(offset), part.column("source").take(pa.array(row))],
+                    [part.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(stop - start), pa.array(crc, pa.int64()), pa.array(n[row]), pa.array(w), pa.array(offset), part.column("source").take(pa.array(row))],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"],
                 )
 
@@ -149,7 +149,8 @@ def pack(docs: DataFrame, *, tokenizer_path: str, window: int = WINDOW, end_id:
     """Packs every document into sequences of at most window tokens; returns a row per piece.
 
     docs needs doc_id, text and source; other columns are ignored.  Null text is
-    an empty text, whose only token is the end id.  Null source is the queue ''.
+    an empty text, whose only token is the end id.  Null source is the queue '', a
+    null doc_id stays null.
     Repeated rows are packed as often as they occur.  An empty table gives no rows.
     Documents of any length are cut where windows end, never dropped.
 

@@ -401,3 +401,61 @@ def test_url_hosts_paths_and_trees(spark):
     got = {r["page_id"]: r for r in url_filter.judge(pages, rules=(), labelled=labels).collect()}
     assert (got[1]["host"], got[1]["path"], got[1]["rule"]) == ("h1.good.org", "/a/1", None) and (got[300]["host"], got[300]["path"]) == ("u.org", "") and (got[301]["host"], got[302]["path"]) == ("", "")
     assert all(got[i]["verdict"] == "allow" for i in range(1, 60, 2)) and all(got[100 + i]["verdict"] == "block" for i in range(1, 60, 2))
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, quality int, keep string"
+    item = prose(950, 30)
+    spark.createDataFrame([(1, item), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    good = "The people of the town walk to the old market every day, and they talk about the weather. " * 3
+    rows = [(1, good + "One ends here.", "en", "a", 1, 7, "k"), (2, good + item, "en", None, 1, None, None), (3, None, None, None, None, 1, "z"), (4, "", None, "b", 0, 2, "z"), (None, good + "Quite another tale of ships, rivers, songs and stars was told by the fire that night to all of us.", "en", "b", 1, 3, "n"), (5, "secret = '" + hashlib.sha1(b"p").hexdigest() + "' " + " ".join(reversed(good.split())), "en", "c", 5, 4, "s"), (6, " ".join(WORDS) + " " + "long text of many plain words " * 60000, "en", "d", 9, 5, "l")]
+    docs = spark.createDataFrame(rows + [rows[0]], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString(), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        got = sorted((r["doc_id"], r["quality"], r["keep"]) for r in out.where("doc_id is not null").collect())
+        if name == "quality classifier":
+            assert {3, 4}.isdisjoint(g[0] for g in got) and (1, 7, "k") in got
+        elif name == "n-gram Jaccard join":
+            assert [g[0] for g in got].count(1) == 1 and {3, 4} <= {g[0] for g in got} and out.where("doc_id is null").count() == 1
+        elif name == "benchmark decontamination":
+            assert [g[0] for g in got] == [1, 1, 3, 4, 5, 6] and out.where("doc_id is null").count() == 1
+        else:
+            assert len(got) == 7 and "<secret>" in out.where("doc_id = 5").first()["text"] and out.where("doc_id = 3").first()["text"] is None
+    pieces = corpus_pipeline.pack(spark, docs, str(tmp_path))
+    assert corpus_pipeline.pack(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {None, 1, 2, 3, 4, 5, 6}
+
+
+def test_long_texts_ties_and_clashing_columns(spark):
+    """Texts over the bound of a chunk, equal rows, and columns named like the results."""
+    long = " ".join(prose(960 + k, 900) for k in range(180))
+    assert len(long) > textbuf.CHUNK_BYTES
+    rows = [(1, long, "en", "a"), (1, long, "en", "a"), (2, long + " end", "en", "a"), (3, "short text", "en", "a")]
+    clash = {c: F.lit("x") for c in ("component_id", "n_links", "posterior", "lang_pred", "media_bytes", "matched", "share", "score", "offset", "start", "rule", "held_out")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns(clash)
+    assert sorted(map(tuple, ngram_join.join(docs).select("doc_id", "component_id", "n_links").collect())) == [(1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 3, 0)]
+    assert {r["n_bytes"] for r in media.describe(docs).collect()} == {len(long), len(long) + 4, 10}
+    words = len(long.split())
+    assert sorted(r["n_tokens"] for r in lm_score.score(docs, tokenizer_path=BPE).collect()) == [3, words + 1, words + 1, words + 2]
+    assert language.identify(docs).count() == quality.judge(docs).count() == 4 and secrets.redact(docs).columns == docs.columns
+    bench = spark.createDataFrame([(1, " ".join(long.split()[70000:70030])), (2, " ".join(long.split()[5:35]))], "item_id long, text string").withColumn("doc_id", F.lit("x"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    pieces = packing.pack(docs, tokenizer_path=BPE).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of"), F.count("*").alias("pieces")).collect()
+    assert {r["doc_id"]: r["n"] // r["of"] for r in pieces} == {1: 2, 2: 1, 3: 1}
+
+
+def test_windows_hold_the_target_proportions(spark):
+    rows = [(i, prose(970 + i, 40), ("big", "big", "mid", "small")[i % 4]) for i in range(160)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), tokenizer_path=BPE, window=256).collect()
+    total, by = Counter(), {}
+    for p in pieces:
+        total[p["source"]] += p["length"]
+        by.setdefault(p["sequence_id"], Counter())[p["source"]] += p["length"]
+    whole = sum(total.values())
+    for k, own in by.items():
+        if k < max(by):
+            assert all(abs(own[s] - 256 * n / whole) <= 1 for s, n in total.items())
