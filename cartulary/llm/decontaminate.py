@@ -83,8 +83,13 @@ def _slots(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: (t == _NUM) | (t == _NAME)))
 
 
+def _places(tokens: Column) -> Column:
+    """Where the slots are among the tokens, from 0."""
+    return F.filter(F.transform(tokens, lambda t, i: F.when((t == _NUM) | (t == _NAME), i)), lambda i: i.isNotNull())
+
+
 def benchmark_windows(benchmark: DataFrame, window: int, form: int) -> DataFrame:
-    """A row per window of each item: item_id, b_pos, length, hash, n_windows, few (too few words to match other values) and the values in its slots."""
+    """A row per window of each item: item_id, b_pos, length, hash, n_windows, few (too few words to match other values), and of its slots the places and the values."""
     items = benchmark.where("item_id is not null").select("item_id", template_tokens(F.col("text"), form).alias("tokens"), slot_values(F.col("text"), form).alias("values")).where(F.size("tokens") >= LEAST_TOKENS)
     sizes = range(min(LEAST_TOKENS, window), window + 1)
     by_length = [hashed_windows(items.where(F.least(F.size("tokens"), F.lit(window)) == n), n).withColumn("length", F.lit(n)) for n in sizes]
@@ -92,7 +97,7 @@ def benchmark_windows(benchmark: DataFrame, window: int, form: int) -> DataFrame
     own = F.slice("tokens", F.col("b_pos") + 1, F.col("length"))
     before = _slots(F.slice("tokens", F.lit(1), F.col("b_pos")))
     words = F.size(F.filter(own, lambda t: ~t.isin(_NUM, _NAME, _UNIT)))
-    return each.select(F.lit(form).alias("form"), "item_id", "b_pos", "length", "hash", "n_windows", (words < LEAST_WORDS).alias("few"), F.slice("values", before + 1, _slots(own)).alias("b_values"))
+    return each.select(F.lit(form).alias("form"), "item_id", "b_pos", "length", "hash", "n_windows", (words < LEAST_WORDS).alias("few"), _places(own).alias("b_places"), F.slice("values", before + 1, _slots(own)).alias("b_values"))
 
 
 def _few(df: DataFrame, bound: int) -> DataFrame:
@@ -126,9 +131,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share:
         tokens = texts.select("doc_id", template_tokens(F.col("text"), form).alias("tokens"))
         each = hashed_windows(tokens, length).select("doc_id", F.posexplode_outer("hashes").alias("pos", "hash"))
         met = each.join(F.broadcast(keys) if small else keys, "hash")
-        hits.append(met.join(F.broadcast(own) if small else own, "hash").select("form", "doc_id", "item_id", "pos", "b_pos", "n_windows", "few", "b_values"))
+        hits.append(met.join(F.broadcast(own) if small else own, "hash").select("form", "doc_id", "item_id", "pos", "b_pos", "n_windows", "few", "b_places", "b_values"))
     if not hits:
-        hits = [known.select("form", F.lit(None).cast("long").alias("doc_id"), "item_id", F.col("b_pos").alias("pos"), "b_pos", "n_windows", "few", "b_values")]
+        hits = [known.select("form", F.lit(None).cast("long").alias("doc_id"), "item_id", F.col("b_pos").alias("pos"), "b_pos", "n_windows", "few", "b_places", "b_values")]
     found = work.table("found", reduce(DataFrame.union, hits))
     whole = ["form", "doc_id", "item_id"]
 
@@ -158,12 +163,13 @@ def _slot_pairs(work: Workspace, texts: DataFrame, filled: DataFrame) -> DataFra
     slotted = work.table("slotted", filled.select("doc_id").distinct())
     own = texts.join(_few(slotted, BROADCAST_DOCS), "doc_id", "left_semi")
     forms = [own.select(F.lit(f).alias("form"), "doc_id", template_tokens(F.col("text"), f).alias("tokens"), slot_values(F.col("text"), f).alias("d_values")) for f in FORMS]
-    both = filled.select("form", "doc_id", "item_id", "pos", "shift", "b_values").distinct().join(reduce(DataFrame.union, forms), ["form", "doc_id"])
-    before = _slots(F.slice("tokens", F.lit(1), F.col("pos")))
-    pair = F.arrays_zip(F.col("b_values").alias("b"), F.slice("d_values", before + 1, F.size("b_values")).alias("d"))
-    each = both.select("form", "doc_id", "item_id", "pos", "shift", F.explode(pair).alias("pair"))
-    b, d = F.col("pair.b"), F.coalesce("pair.d", F.lit(""))
-    return each.select("form", "doc_id", "item_id", "pos", "shift", b.alias("b"), d.alias("d"), (b != d).alias("differ"))
+    slots = reduce(DataFrame.union, forms).select("form", "doc_id", _places(F.col("tokens")).alias("places"), "d_values")
+    slots = slots.select("form", "doc_id", F.explode_outer(F.arrays_zip(F.col("places").alias("place"), F.col("d_values").alias("d"))).alias("slot")).select("form", "doc_id", "slot.place", "slot.d")
+    # A row for each slot of a match finds its value by its place in the text: no text is carried along.
+    asked = filled.select("form", "doc_id", "item_id", "pos", "shift", F.explode(F.arrays_zip(F.col("b_places").alias("place"), F.col("b_values").alias("b"))).alias("slot"))
+    asked = asked.select("form", "doc_id", "item_id", "pos", "shift", (F.col("pos") + F.col("slot.place")).alias("place"), "slot.b")
+    d = F.coalesce("d", F.lit(""))
+    return asked.join(slots, ["form", "doc_id", "place"], "left").select("form", "doc_id", "item_id", "pos", "shift", "b", d.alias("d"), (F.col("b") != d).alias("differ"))
 
 
 def _short(work: Workspace, texts: DataFrame, benchmark: DataFrame) -> DataFrame:
