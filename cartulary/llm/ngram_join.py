@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartulary.llm import rtree, textbuf
@@ -199,6 +199,36 @@ def _members(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition("gram", "part").sortWithinPartitions("gram", "node").mapInArrow(runs, "gram long, node long, need int, core int")
 
 
+def _rarest(shown: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(gram, node, n, lead): of the sets that may have a partner the n-grams of which a pair has one in common; lead: also as the smaller of the two.
+
+    The order of the n-grams begins with those under the threshold, the ones that no
+    pair has before the rest by their copies, so a chance meeting in a frequent
+    n-gram is behind the prefix.  Those of other kinds stay in the order they have.
+    """
+    low = F.col("need") % 2
+    shared = shown.groupBy("node").agg(F.sum(low).alias("shared"), F.max(F.floor(F.col("need") / 2)).alias("least"), F.max("core").alias("core"))
+    alive = shared.where("shared >= least").select("node", "least", "core", (F.col("shared") >= F.col("core")).alias("is_core")).join(nodes.select("node", "n"), "node")
+    left = shown.select("gram", "node", low.alias("low")).join(alive, "node")
+    # Of two partners the smaller one is a core set: an n-gram without any links nothing.
+    copies = left.groupBy("gram").agg(F.count("*").alias("sets"), F.count_if("is_core").alias("cores")).where("sets > 1 and cores > 0").select("gram", "sets")
+    own = Window.partitionBy("node")
+    rows = left.join(copies, "gram").select("*", F.sum("low").over(own).alias("shared"), F.row_number().over(own.orderBy(F.desc("low"), "sets", "gram")).alias("place"))
+    # Before place there are those that a set shares with no other; what is left of the prefix is one more than what it shares beyond its need.
+    rows = rows.where("shared >= least and (low = 0 or place <= shared - least + 1)")
+    return rows.select("gram", "node", "n", F.expr("is_core and shared >= core and (low = 0 or place <= shared - core + 1)").alias("lead"))
+
+
+def _star(rare: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a > b: edges that connect all partners.  A hub is one of an n-gram's leading sets of a band of sizes or the one below; a set's partners that are not smaller are in its own band or the next."""
+    # Bands are a trifle wider than the similarity asks, so rounding parts no partners.
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) + 1e-4)).cast("int")
+    rows = rare.select("gram", "node", "lead", band.alias("band"))
+    hubs = rows.where("lead").select("gram", "node", F.explode(F.array("band", F.col("band") + 1)).alias("band")).groupBy("gram", "band").agg(F.min("node").alias("hub"))
+    leads = rows.where("lead").withColumn("band", F.col("band") + 1)
+    return rows.union(leads).join(hubs, ["gram", "band"]).where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+
+
 def _packed(counts: np.ndarray) -> bytes:
     """Counts in the narrowest of 1, 2 or 4 bytes that holds them all."""
     most = int(counts.max(initial=0))
@@ -318,17 +348,14 @@ def join(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
     often = scanned.where("common").groupBy("key").agg(F.sum("value").alias("copies")).orderBy(F.desc("copies"), "key").limit(COMMON_MOST)
     common = np.array(sorted(np.array([r[0] for r in often.select("key").collect()], np.int64).view(np.uint64)), np.uint64)
 
-    nodes = documents.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    nodes = documents.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("n").alias("n"))
     shown = work.table("shown", _members(_prefixes(docs, common, words, percent)))
-    shared = shown.groupBy("node").agg(F.sum(F.col("need") % 2).alias("shared"), F.max(F.floor(F.col("need") / 2)).alias("need"), F.max("core").alias("core"))
-    alive = shared.where("shared >= need").select("node", (F.col("shared") >= F.col("core")).alias("is_core"))
-    left = shown.select("gram", "node").join(alive, "node")
-    # Of two partners the smaller one is a core set: blocks without any link nothing, and a core set is their hub.
-    blocks = left.groupBy("gram").agg(F.min(F.when(F.col("is_core"), F.col("node"))).alias("hub"), F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last and hub is not null").select("gram", "hub")
-    star = work.table("star", left.join(blocks, "gram").where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct())
+    rare = work.table("rare", _rarest(shown, nodes, percent))
     work.drop("shown")
+    star = work.table("star", _star(rare, percent))
+    work.drop("rare")
     clusters = components(work, star, "clusters").withColumnRenamed("label", "cluster")
-    clustered = work.table("clustered", clusters.join(nodes, "node"))
+    clustered = work.table("clustered", clusters.join(nodes.drop("n"), "node"))
 
     read = docs.select("doc_id", "text")
     wanted = clustered.select("doc_id")

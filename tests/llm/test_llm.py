@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cartulary.llm import attention, decontaminate, flac, language, lm_score, media, ngram_join, packing, quality, secrets, subword, textbuf, url_filter, warc
+from cartulary.llm import attention, components, decontaminate, flac, language, lm_score, media, ngram_join, packing, quality, secrets, subword, textbuf, url_filter, warc, workspace
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, node long"
@@ -80,6 +80,36 @@ def test_ngram_join_counts_links_across_tiles(spark, monkeypatch):
     assert sorted(got) == brute_join(rows)
 
 
+def test_ngram_join_clusters_by_the_rarest_ngrams(spark, monkeypatch):
+    words = lambda name, n: " ".join(f"{name}x{k}" for k in range(n))
+    everywhere = words("f", 290)
+    # Four pairs of partners, and two texts whose similarity is 80 % to the n-gram: 80 of 100.
+    rows = [(i, f"{everywhere} {words(f'q{i // 2}', 300)} {words(f'own{i}', 12)}") for i in range(8)] + [(8, words("z", 104)), (9, words("z", 84))]
+    clusters = []
+    inner = ngram_join.components
+
+    def counted(work, links, name):
+        labels = inner(work, links, name)
+        clusters.append(labels.select("label").distinct().count())
+        return labels
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    found = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(map(tuple, found.collect())) == brute_join(rows)
+    assert clusters[0] == 5  # the passage that all have makes no cluster
+
+
+def test_components_in_one_task_equal_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(-200, 200, (180, 2))] + [(900 + k, 901 + k) for k in range(40)], "a long, b long")
+    found = []
+    for most in (components.LINKS, 0):
+        monkeypatch.setattr(components, "LINKS", most)
+        found.append(sorted(map(tuple, components.components(workspace.Workspace(spark, "test"), links, "c").collect())))
+    assert found[0] == found[1] and len(found[0]) > 200
+    assert components.components(workspace.Workspace(spark, "test"), links.limit(0), "c").count() == 0
+
+
 def test_ngram_join_links_sets_without_id(spark):
     base = prose(1, 60).split()
     near = " ".join(["changed"] + base[1:])
