@@ -17,7 +17,7 @@ from cartulary.llm import textbuf
 #: Pieces that a worker remembers; then the memory starts anew.
 MEMO_PIECES = 1_500_000
 #: Text bytes that are encoded together.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def _after_other_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -137,6 +138,17 @@ def test_subwords_equal_the_tokenizer():
         assert ids[at[i] : at[i + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_subwords_of_a_chunk_take_little_memory():
+    column = pa.array([prose(k, 400) for k in range(1500)])
+    encoder = subword.Subwords(BPE)
+    tracemalloc.start()
+    for chunk in textbuf.chunks(column, subword.CHUNK_BYTES):
+        encoder.encode(chunk)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20  # a worker has two of these beside an executor's heap
+
+
 def test_packing_covers_every_id(spark, docs):
     pieces = packing.pack(docs.where("doc_id < 11"), tokenizer_path=BPE, window=64).collect()
     encoder = subword.Subwords.of(BPE)
