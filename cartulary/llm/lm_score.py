@@ -14,12 +14,10 @@ from cartulary.llm.workspace import Workspace, lean
 
 #: Text bytes of a part; a part's words are numbered, counted and looked up together.
 PART_BYTES = 32 << 20
-#: Of the windows of all training texts, one in so many is trained on, and all of them while they are fewer than FIRST in expectation.
-EVERY = 128
-#: Windows, by hash, of the first training, which one task does, and its passes over them; all chosen windows are then trained on by trainers that start from there.
+#: Windows, by hash, of the first training, which one task does, and its passes over them; trainers that start from there then go through all windows of all training texts.
 FIRST, PASSES = 40_000, 3
-#: Windows of a trainer.
-SHARE = 16_384
+#: Windows of a trainer in expectation, and those it holds and puts in another order at a time.
+SHARE, HELD_WINDOWS = 1 << 19, 1 << 14
 RATE, LATER_RATE = 0.3, 0.15
 FOLDS, HELD = 7, 2
 #: Bytes of a word's number in its part.
@@ -67,8 +65,8 @@ def _encoded(docs: DataFrame, tokenizer_path: str, part_bytes: int, chosen: int)
     _DOCUMENT: its number in its part as key, its words as numbers within the part,
     the most frequent first, and its subword ids; _WORD: in that order, how often
     the part's training texts have each of its words; _SUBWORD: how often the
-    training texts have an id; _TEXTS: how many there are; _WINDOW: windows to train
-    on, those whose hash, of 20 bits, is under chosen.
+    training texts have an id; _TEXTS: how many there are; _WINDOW: windows of
+    the first training, those whose hash, of 20 bits, is under chosen.
     """
 
     @textbuf.frugal
@@ -168,37 +166,67 @@ def _learn(model: attention.Model, trained: DataFrame) -> None:
         model.p[name].reshape(len(model.p[name]), -1)[row] = np.frombuffer(vector, "<f4")
 
 
-def _trained(chosen: DataFrame, counts: np.ndarray) -> attention.Model:
-    """The model of the chosen windows (key, ids).
+def _trained(chosen: DataFrame, texts: DataFrame, counts: np.ndarray, id_bytes: int) -> attention.Model:
+    """The model of all training texts (ids), that begins with the chosen windows (key, ids).
 
-    One task trains on the first of them; then all of them are dealt out, by hash, to
-    trainers that each go through their own once from there, and what they learned
-    is averaged row by row.  The work of a trainer is bounded, their number grows
-    with the corpus.
+    One task trains on the first of the chosen windows; then trainers that start from
+    there go through all windows of all texts once, each through those of its part of
+    the table, and what they learned is averaged row by row.  The work of a trainer
+    is bounded, their number grows with the corpus.
     """
     model = attention.Model(attention.Tree(counts))
     schema = "name string, row long, vector binary"
-    n = chosen.count()
+    size = len(counts)
+    n = texts.agg(F.coalesce(F.sum(F.ceil((F.octet_length("ids") / id_bytes + 1) / attention.CONTEXT)), F.lit(0))).first()[0]
     if not n:
         return model
 
-    def run(rows: pa.Table, passes: int, rate: float) -> pa.Table:
+    def run(rows: pa.Table) -> pa.Table:
         own = attention.Model(attention.Tree(counts))
-        own.p = {k: v.copy() for k, v in start.items()}
         order = np.lexsort([np.array(rows["ids"].to_pylist(), object), rows["key"].to_numpy()])
-        own.fit(_windows_of(rows["ids"].take(pa.array(order))), passes, rate)
+        own.fit(_windows_of(rows["ids"].take(pa.array(order))), PASSES, RATE)
         textbuf.release()
         return _changed(own, start)
 
     start = {k: v.copy() for k, v in model.p.items()}
     some = chosen.orderBy("key", "ids").limit(FIRST).withColumn("trainer", F.lit(0))
-    _learn(model, some.groupBy("trainer").applyInArrow(lambda t: run(t, PASSES, RATE), schema))
-    if n > FIRST:
-        start = {k: v.copy() for k, v in model.p.items()}
-        trainers = -(-n // SHARE)
-        dealt = chosen.withColumn("trainer", F.pmod(F.xxhash64("key"), F.lit(trainers)))
-        learned = dealt.groupBy("trainer").applyInArrow(lambda t: run(t, 1, LATER_RATE), schema)
-        _learn(model, learned.withColumn("bucket", F.pmod(F.xxhash64("name", "row"), F.lit(max(8, trainers // 8)))).groupBy("bucket").applyInArrow(_averaged, schema))
+    _learn(model, some.groupBy("trainer").applyInArrow(run, schema))
+    if n <= FIRST:
+        return model
+    start = {k: v.copy() for k, v in model.p.items()}
+    trainers = -(-n // SHARE)
+
+    @textbuf.frugal
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = attention.Model(attention.Tree(counts))
+        own.p = {k: v.copy() for k, v in start.items()}
+        rng, done = np.random.default_rng(7), 0
+
+        def held() -> Iterator[np.ndarray]:
+            some, n_some = [], 0
+            for batch in batches:
+                for k in range(0, batch.num_rows, 256):
+                    ids, at = _numbers(batch.column(0).slice(k, 256), id_bytes)
+                    for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                        some.append(attention.windows(np.append(ids[i:j], size - 1), size))
+                        n_some += len(some[-1])
+                        if n_some >= HELD_WINDOWS:
+                            yield np.concatenate(some)
+                            some, n_some = [], 0
+            if some:
+                yield np.concatenate(some)
+
+        for part in held():
+            part = part[rng.permutation(len(part))]
+            for at in range(0, len(part), attention.STEP):
+                x = part[at : at + attention.STEP].astype(np.int64)
+                own.step(np.where(x[:, :-1] < 0, size + 1, x[:, :-1]), x[:, 1:], LATER_RATE * (1 - 0.9 * min(1.0, done * trainers / n)))
+                done += len(x)
+        if done:
+            yield from _changed(own, start).to_batches(max_chunksize=2000)
+
+    learned = texts.select("ids").coalesce(trainers).mapInArrow(later, schema)
+    _learn(model, learned.withColumn("bucket", F.pmod(F.xxhash64("name", "row"), F.lit(max(8, trainers // 8)))).groupBy("bucket").applyInArrow(_averaged, schema))
     return model
 
 
@@ -217,7 +245,7 @@ def score(docs: DataFrame, *, tokenizer_path: str, part_bytes: int = PART_BYTES)
     own = lean(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD).alias("held_out"))
     n_bytes = own.where("not held_out").agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     # A subword has some four bytes at most in most texts.
-    chosen = max((1 << 20) // EVERY, min(1 << 20, (4 * FIRST * attention.CONTEXT << 20) // max(1, n_bytes)))
+    chosen = min(1 << 20, (4 * FIRST * attention.CONTEXT << 20) // max(1, n_bytes))
     table = work.table("encoded", _encoded(own, tokenizer_path, part_bytes, chosen))
     n_texts = table.where(f"kind = {_TEXTS}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
@@ -227,7 +255,8 @@ def score(docs: DataFrame, *, tokenizer_path: str, part_bytes: int = PART_BYTES)
     for key, n in table.where(f"kind = {_SUBWORD}").groupBy("key").agg(F.sum("n")).collect():  # at most a row per subword
         counts[key] = n
     counts[end_id] += n_texts
-    scorer = attention.Scorer(_trained(table.where(f"kind = {_WINDOW}").select("key", "ids"), counts))
+    texts = table.where(f"kind = {_DOCUMENT} and not held_out").select("ids")
+    scorer = attention.Scorer(_trained(table.where(f"kind = {_WINDOW}").select("key", "ids"), texts, counts, encoder.ids.itemsize))
     # A word has a row for each part that has it: their number is bounded by the parts, so a window needs no join.
     same = Window.partitionBy("key")
     words = table.where(f"kind = {_WORD}").select("part", "place", F.sum("n").over(same).alias("c"), (F.col("part") == F.min("part").over(same)).alias("first"))

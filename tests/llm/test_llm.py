@@ -292,6 +292,21 @@ def test_model_beats_unigrams_on_held_out_texts(spark):
     assert sum(r[6] for r in held) > sum(math.log10((count[x] + 0.5) / total) for r in held for x in ids[r[0]]) + 100 and len(held) > 10
 
 
+def test_model_learns_from_all_training_texts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    encoder = subword.Subwords.of(BPE)
+    rows = [(i, encoder.tokenizer.decode(rng.integers(300, 50000, 60).tolist())) for i in range(120)]
+    models = []
+    inner = attention.Scorer
+    monkeypatch.setattr(lm_score, "FIRST", 20)
+    monkeypatch.setattr(attention, "Scorer", lambda model: models.append(model) or inner(model))
+    found = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tokenizer_path=BPE).collect()
+    held_out = {r.doc_id: r.held_out for r in found}
+    ids = {x for i, t in rows if not held_out[i] for x in encoder.tokenizer.encode(t, add_special_tokens=False).ids}
+    untrained = attention.Model(models[0].tree).p["e"]
+    assert len(ids) > 1000 and all((models[0].p["e"][x] != untrained[x]).any() for x in ids)
+
+
 def test_templates_catch_other_values(spark):
     bench = spark.createDataFrame([(1, "A train leaves at 5 km and then Anna buys 12 apples for 3.50 dollars from Bob in the market today"), (2, "too short"), (3, None)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "Intro here. A train leaves at 7 km and then Maria buys 20 apples for 4,000 euros from Carl in the market today More."), (2, None), (3, ""), (4, "A train leaves at 5 km")], "doc_id long, text string")
