@@ -18,11 +18,14 @@ CONTEXT = 24
 STRIDE = 16
 WIDTH = 32
 HIDDEN = 32
+SCALE = np.float32(WIDTH**-0.5)
 #: Windows that are scored, and that are trained on, together.
 BATCH = 128
 STEP = 64
 #: Logits beyond this are cut, on both sides alike, so that no probability is 0.
 MOST = 15.0
+#: Nodes of the tree, from the root on, that training compares with all states in one product.
+TOP = 127
 
 
 class Tree:
@@ -54,14 +57,30 @@ class Tree:
         self.nodes, self.turns = np.concatenate(nodes)[order].astype(np.int32), np.concatenate(turns)[order]
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate(ids), minlength=n))]).astype(np.int32)
 
+        # A walk passes ever heavier nodes, which have the higher numbers: at its end those that most walks share.
+        self.top = max(0, n - 1 - TOP)
+        self.low = np.add.reduceat(self.nodes < self.top, self.begin[:-1], dtype=np.int32) if n > 1 else np.zeros(n, np.int32)
+        self.signs = np.where(self.turns, np.float32(1), np.float32(-1))
+
     def walk(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of some ids strung together: nodes, turns, which id each belongs to, and where each id begins."""
         n = self.begin[ids + 1] - self.begin[ids]
-        first = np.cumsum(n) - n
-        flat = np.repeat(self.begin[ids] - first, n) + np.arange(int(n.sum()))
+        flat, first = strung(self.begin[ids], n)
         return self.nodes.take(flat), self.turns.take(flat), np.repeat(np.arange(len(ids)), n), first
 
 
+def strung(begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of stretches of n from begin on, one after the other, and where each stretch begins among them."""
+    end = np.cumsum(n)
+    first = end - n
+    return np.repeat(begin - first, n) + np.arange(int(end[-1]) if len(n) else 0), first
+
+
+def _most(s: np.ndarray) -> np.ndarray:
+    """The largest of each row; max is slow along short rows."""
+    return np.ascontiguousarray(s.reshape(-1, s.shape[2]).T).max(axis=0).reshape(*s.shape[:2], 1)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -MOST, MOST)))
 
@@ -74,6 +93,7 @@ class Model:
     """Parameters.  Ids are 0 to size - 1; size stands before a text, size + 1 is padding."""
 
     SPARSE = ("e", "n", "a")
+    DENSE = ("q", "k", "v", "u", "t", "o", "b", "w", "c", "z")
 
     def __init__(self, tree: Tree, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -86,82 +106,160 @@ class Model:
 
     def forget(self) -> None:
         """Training begins anew from these parameters."""
-        self.first = {k: np.zeros_like(v) for k, v in self.p.items() if k not in self.SPARSE}
-        self.second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.first, self.square = np.zeros((2, sum(self.p[k].size for k in self.DENSE)), np.float32)
+        self.second = {k: np.zeros_like(self.p[k]) for k in self.SPARSE}
         self.steps = 0
 
-    def forward(self, x: np.ndarray) -> tuple:
+    def _joint(self) -> np.ndarray:
+        """What an embedding is multiplied with, side by side: as a query of embeddings, as what attention adds to a state, as the position's own and as the one before."""
+        p = self.p
+        return np.hstack([p["q"] @ p["k"].T * SCALE, p["v"] @ p["o"], p["u"], p["t"]])
+
+    def forward(self, x: np.ndarray, joint: np.ndarray | None = None) -> tuple:
         """States after each position of windows x; position i sees x up to i, and no padding."""
         p = self.p
-        e = p["e"][x]
-        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
+        pad = x > self.size
+        # Padding that only follows is seen by no position before it.
+        padded = bool((pad[:, :-1] & ~pad[:, 1:]).any())
+        e = p["e"].take(x.ravel(), 0)
+        parts = (e @ (self._joint() if joint is None else joint)).reshape(*x.shape, 4 * WIDTH)
+        q, v, u, t = (parts[:, :, at : at + WIDTH] for at in range(0, 4 * WIDTH, WIDTH))
         apart = _apart(x.shape[1])
-        s = q @ k.transpose(0, 2, 1) / np.float32(WIDTH**0.5) + p["b"][np.maximum(apart, 0)]
-        s = np.where((apart >= 0) & ((x <= self.size)[:, None, :] | (apart == 0)), s, np.float32(-1e9))
-        a = np.exp(s - s.max(axis=2, keepdims=True))
-        a /= a.sum(axis=2, keepdims=True)
-        m = a @ v
-        h = e @ p["u"] + m @ p["o"]
-        h[:, 1:] += np.where((x <= self.size)[:, :-1, None], e[:, :-1], 0) @ p["t"]
-        r = np.maximum(h @ p["w"] + p["c"], 0)
-        return e, q, k, v, apart, a, m, h, r, h + r @ p["z"]
+        a = q @ e.reshape(*x.shape, WIDTH).transpose(0, 2, 1)
+        a += np.where(apart >= 0, p["b"][np.maximum(apart, 0)], np.float32(-1e9))
+        if padded:
+            a += np.where(pad[:, None, :] & (apart != 0), np.float32(-1e9), np.float32(0))
+            t = np.where(pad[:, :, None], np.float32(0), t)
+        a -= _most(a)
+        np.exp(a, out=a)
+        a /= np.einsum("bij->bi", a)[:, :, None]
+        h = a @ v
+        h += u
+        h[:, 1:] += t[:, :-1]
+        h = h.reshape(-1, WIDTH)
+        r = h @ p["w"]
+        r += p["c"]
+        np.maximum(r, 0, out=r)
+        state = r @ p["z"]
+        state += h
+        return pad if padded else None, e, q, v, a, h, r, state
 
     def log10(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """log10 probability of y at each position of windows: the plain form that Scorer is measured by."""
-        state = self.forward(x)[-1].reshape(-1, WIDTH)
+        state = self.forward(x)[-1]
         nodes, turns, row, first = self.tree.walk(y.ravel())
         logit = (self.p["n"][nodes] * state[row]).sum(axis=1) + self.p["a"][nodes, 0]
         return np.add.reduceat(np.log10(sigmoid(np.where(turns, logit, -logit).astype(np.float64))), first).reshape(y.shape)
 
-    def _sparse(self, name: str, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
-        order = np.argsort(rows, kind="stable")
-        at = rows[order]
+    def _sparse(self, rows: np.ndarray, rate: float, **grads: np.ndarray) -> None:
+        """Steps of the rows of parameters that have these gradients, summed by row."""
+        if not len(rows):
+            return
+        # Sorted as one number, which is quicker than a stable argsort and gives the same.
+        key = np.sort(rows.astype(np.int64) << 32 | np.arange(len(rows)))
+        order, at = key & 0xFFFFFFFF, key >> 32
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        g = np.add.reduceat(grad[order], first, axis=0)
         own = at[first]
-        self.second[name][own] += g * g
-        self.p[name][own] -= rate * g / (np.sqrt(self.second[name][own]) + 1e-6)
+        for name, grad in grads.items():
+            g = np.add.reduceat(grad.take(order, 0), first, axis=0)
+            total = self.second[name].take(own, 0) + g * g
+            self.second[name][own] = total
+            self.p[name][own] -= rate * g / (np.sqrt(total) + np.float32(1e-6))
+
+    def _decide(self, f: np.ndarray, ids: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
+        """Steps of the tree's nodes on the walks to ids from states f: the gradients of the states, and the bits of all."""
+        p, tree, top = self.p, self.tree, self.tree.top
+        scale = np.float32(len(f) ** -0.5)
+
+        def turned(odds: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, float]:
+            odds *= signs
+            np.clip(odds, -MOST, MOST, out=odds)
+            np.exp(odds, out=odds)
+            odds += 1
+            wrong = 1 / odds
+            return -scale * signs * wrong, -float(np.log2(1 - wrong).sum())
+
+        begin, end = tree.begin.take(ids), tree.begin.take(ids + 1)
+        low = tree.low.take(ids)
+        # Nodes near the root: the gradients are a matrix of few columns.
+        high, width = p["n"][top:], self.size - 1 - top
+        n = end - begin - low
+        flat, _ = strung(begin + low, n)
+        at = np.repeat(np.arange(len(ids)) * width - top, n) + tree.nodes.take(flat)
+        g, bits = turned((f @ high.T + p["a"][top:, 0]).ravel().take(at), tree.signs.take(flat))
+        dense = np.zeros((len(f), width), np.float32)
+        dense.reshape(-1)[at] = g
+        d = dense @ high
+        steps = {"n": (f.T @ dense).T, "a": (np.ones(len(f), np.float32) @ dense)[:, None]}
+        # The others, one by one.
+        far = np.flatnonzero(low)
+        if len(far):
+            n = low[far]
+            flat, first = strung(begin[far], n)
+            nodes = tree.nodes.take(flat)
+            vectors, states = p["n"].take(nodes, 0), np.repeat(f.take(far, 0), n, axis=0)
+            g, more = turned(np.einsum("rd,rd->r", vectors, states) + p["a"].take(nodes), tree.signs.take(flat))
+            bits += more
+            vectors *= g[:, None]
+            d[far] += np.add.reduceat(vectors, first, axis=0)
+            states *= g[:, None]
+            self._sparse(nodes, rate, n=states, a=g[:, None])
+        for name, grad in steps.items():
+            second = self.second[name][top:]
+            second += grad * grad
+            p[name][top:] -= rate * grad / (np.sqrt(second) + np.float32(1e-6))
+        return d, bits
 
     def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> float:
         """One step down the cross entropy of windows; y is -1 at padding.  Returns it in bits an id."""
-        p = self.p
-        e, q, k, v, apart, a, m, h, r, state = self.forward(x)
-        real = y >= 0
-        f = state[real]
-        nodes, turns, row, first = self.tree.walk(y[real])
-        vectors = p["n"][nodes]
-        logit = np.einsum("rd,rd->r", vectors, f[row]) + p["a"][nodes, 0]
-        right = sigmoid(np.where(turns, logit, -logit))
-        g = (np.where(turns, right - 1, 1 - right) / np.float32(len(f) ** 0.5)).astype(np.float32)[:, None]
-        d = np.zeros_like(state)
-        d[real] = np.add.reduceat(g * vectors, first, axis=0)
-        self._sparse("n", nodes, g * f[row], rate)
-        self._sparse("a", nodes, g, rate)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        grads = {"z": flat(r).T @ flat(d)}
-        dr = (d @ p["z"].T) * (r > 0)
-        grads |= {"w": flat(h).T @ flat(dr), "c": flat(dr).sum(axis=0)}
-        dh = d + dr @ p["w"].T
-        grads |= {"u": flat(e).T @ flat(dh), "o": flat(m).T @ flat(dh)}
-        last = np.where((x <= self.size)[:, :-1, None], e[:, :-1], 0)
-        grads["t"] = flat(last).T @ flat(dh[:, 1:])
-        dm = dh @ p["o"].T
-        da, dv = dm @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dm
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        grads["b"] = np.bincount(np.broadcast_to(np.maximum(apart, 0), ds.shape).ravel(), ds.ravel(), minlength=CONTEXT).astype(np.float32)
-        ds /= np.float32(WIDTH**0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        grads |= {name: flat(e).T @ flat(grad) for name, grad in (("q", dq), ("k", dk), ("v", dv))}
-        de = dh @ p["u"].T + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        de[:, :-1] += dh[:, 1:] @ p["t"].T
-        seen = x <= self.size
-        self._sparse("e", x[seen], de[seen], rate)
+        p, joint, rate = self.p, self._joint(), np.float32(rate)
+        pad, e, q, v, a, h, r, state = self.forward(x, joint)
+        real = np.flatnonzero(y.ravel() >= 0)
+        if len(real) == y.size:
+            d, bits = self._decide(state, y.ravel(), rate)
+        else:
+            d = np.zeros_like(state)
+            d[real], bits = self._decide(state.take(real, 0), y.ravel()[real], rate)
+        grads = {"z": r.T @ d}
+        dr = d @ p["z"].T
+        dr *= r > 0
+        grads |= {"w": h.T @ dr, "c": np.ones(len(dr), np.float32) @ dr}
+        d += dr @ p["w"].T
+        dh = d.reshape(*x.shape, WIDTH)
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
+        ds *= a
+        apart = _apart(x.shape[1])
+        grads["b"] = np.bincount(np.maximum(apart, 0).ravel(), ds.sum(axis=0).ravel(), minlength=CONTEXT).astype(np.float32)
+        parts = np.empty((*x.shape, 4 * WIDTH), np.float32)
+        parts[:, :, :WIDTH] = ds @ e.reshape(*x.shape, WIDTH)
+        parts[:, :, WIDTH : 2 * WIDTH] = a.transpose(0, 2, 1) @ dh
+        parts[:, :, 2 * WIDTH : 3 * WIDTH] = dh
+        parts[:, :-1, 3 * WIDTH :] = dh[:, 1:]
+        parts[:, -1, 3 * WIDTH :] = 0
+        if pad is not None:
+            parts[:, :, 3 * WIDTH :][pad] = 0
+        flat = parts.reshape(-1, 4 * WIDTH)
+        both = e.T @ flat
+        pairs, mixed, grads["u"], grads["t"] = (both[:, at : at + WIDTH] for at in range(0, 4 * WIDTH, WIDTH))
+        grads |= {"q": pairs @ p["k"] * SCALE, "k": pairs.T @ p["q"] * SCALE, "v": mixed @ p["o"].T, "o": p["v"].T @ mixed}
+        de = flat @ joint.T
+        de += (ds.transpose(0, 2, 1) @ q).reshape(de.shape)
+        if pad is None:
+            self._sparse(x.ravel(), rate, e=de)
+        else:
+            seen = np.flatnonzero(x.ravel() <= self.size)
+            self._sparse(x.ravel()[seen], rate, e=de.take(seen, 0))
         self.steps += 1
-        for name, grad in grads.items():
-            self.first[name] = 0.9 * self.first[name] + np.float32(0.1) * grad
-            self.second[name] = 0.99 * self.second[name] + np.float32(0.01) * grad * grad
-            p[name] = (p[name] - 0.05 * rate * (self.first[name] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[name] / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
-        return float(-np.log2(right).sum() / max(1, len(f)))
+        grad = np.concatenate([grads[name].ravel() for name in self.DENSE])
+        self.first = 0.9 * self.first + np.float32(0.1) * grad
+        self.square = 0.99 * self.square + np.float32(0.01) * grad * grad
+        change = 0.05 * rate * (self.first / np.float32(1 - 0.9**self.steps)) / (np.sqrt(self.square / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8))
+        at = 0
+        for name in self.DENSE:
+            p[name] = p[name] - change[at : at + p[name].size].reshape(p[name].shape)
+            at += p[name].size
+        return bits / max(1, len(real))
 
     def fit(self, windows: np.ndarray, epochs: int, rate: float = 0.1) -> float:
         """Goes through windows (the id before, and CONTEXT ids, -1 for padding) so many times, in their order; the rate falls to a tenth.  Returns the mean bits an id of the last pass."""
@@ -231,10 +329,10 @@ class Scorer:
             s += self.near
             edge = np.flatnonzero(~inside.all(axis=1))
             s[edge] += np.where(inside[edge], np.float32(0), np.float32(-1e9))[:, None, :]
-            s -= s.max(axis=2, keepdims=True)
+            s -= _most(s)
             np.exp(s, out=s)
             mixed = s @ self.mixed.take(seen, 0)
-            mixed /= s.sum(axis=2, keepdims=True)
+            mixed /= np.einsum("bij->bi", s)[:, :, None]
             real = inside[:, CONTEXT - STRIDE :]
             h = mixed[real]
             h += self.direct.take(here[real], 0)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from cartulary.llm import attention, subword, textbuf
 from cartulary.llm.workspace import Workspace, lean
@@ -20,6 +22,8 @@ FIRST, PASSES = 40_000, 3
 SHARE, HELD_WINDOWS = 1 << 19, 1 << 14
 RATE, LATER_RATE = 0.3, 0.15
 FOLDS, HELD = 7, 2
+#: Bytes of a row group of encoded texts, looked at after so many rows: tasks that read them can share them evenly.
+BLOCK_BYTES, BLOCK_CHECK = 8 << 20, 500
 #: Bytes of a word's number in its part.
 WORD_BYTES = 4
 _DOCUMENT, _WORD, _SUBWORD, _TEXTS, _WINDOW = range(5)
@@ -246,7 +250,7 @@ def score(docs: DataFrame, *, tokenizer_path: str, part_bytes: int = PART_BYTES)
     n_bytes = own.where("not held_out").agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     # A subword has some four bytes at most in most texts.
     chosen = min(1 << 20, (4 * FIRST * attention.CONTEXT << 20) // max(1, n_bytes))
-    table = work.table("encoded", _encoded(own, tokenizer_path, part_bytes, chosen))
+    table = work.table("encoded", _encoded(own, tokenizer_path, part_bytes, chosen), **{"parquet.block.size": BLOCK_BYTES, "parquet.page.size.row.check.max": BLOCK_CHECK})
     n_texts = table.where(f"kind = {_TEXTS}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     encoder = subword.Subwords.of(tokenizer_path)
@@ -256,7 +260,6 @@ def score(docs: DataFrame, *, tokenizer_path: str, part_bytes: int = PART_BYTES)
         counts[key] = n
     counts[end_id] += n_texts
     texts = table.where(f"kind = {_DOCUMENT} and not held_out").select("ids")
-    scorer = attention.Scorer(_trained(table.where(f"kind = {_WINDOW}").select("key", "ids"), texts, counts, encoder.ids.itemsize))
     # A word has a row for each part that has it: their number is bounded by the parts, so a window needs no join.
     same = Window.partitionBy("key")
     words = table.where(f"kind = {_WORD}").select("part", "place", F.sum("n").over(same).alias("c"), (F.col("part") == F.min("part").over(same)).alias("first"))
@@ -282,7 +285,12 @@ def score(docs: DataFrame, *, tokenizer_path: str, part_bytes: int = PART_BYTES)
         return pa.Table.from_batches(out, out[0].schema) if out else pa.table({"part": pa.array([], pa.int64())})
 
     rows = table.where(f"kind = {_DOCUMENT}")
-    base = work.table("base", rows.select("part", "key", "doc_id", "held_out", "words").groupBy("part").cogroup(words.groupBy("part")).applyInArrow(based, shape))
+    # The first training is one task: the other cores do the base meanwhile.
+    with ThreadPoolExecutor(1) as beside:
+        looked_up = rows.select("part", "key", "doc_id", "held_out", "words").groupBy("part").cogroup(words.groupBy("part")).applyInArrow(based, shape)
+        base = beside.submit(inheritable_thread_target(docs.sparkSession)(work.table), "base", looked_up)
+        scorer = attention.Scorer(_trained(table.where(f"kind = {_WINDOW}").select("key", "ids"), texts, counts, encoder.ids.itemsize))
+        base = base.result()
     n_words, distinct = base.agg(F.coalesce(F.sum("own_words"), F.lit(0)), F.coalesce(F.sum("own_distinct"), F.lit(0))).first()
     train_tokens, size = n_words + n_texts, distinct + (n_texts > 0)
 

@@ -38,10 +38,10 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/cartulary/{purpose}-{uuid.uuid4().hex[:12]}"
 
-    def table(self, name: str, df: DataFrame, compression: str = "zstd") -> DataFrame:
+    def table(self, name: str, df: DataFrame, compression: str = "zstd", **options: int) -> DataFrame:
         """Writes df once; later reads neither recompute it nor depend on the executors that made it."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", compression).parquet(path)
+        df.write.options(**options).option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -3,10 +3,14 @@
 import base64
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -278,6 +282,61 @@ def test_model_is_a_distribution_and_scored_in_windows_as_in_one_pass():
             assert abs(got[at + i] - want) < 1e-4
 
 
+def test_training_step_goes_down_the_slope():
+    rng = np.random.default_rng(6)
+    size = 400  # more nodes than those near the root
+    model = attention.Model(attention.Tree(rng.integers(0, 50, size) ** 2))
+    for value in model.p.values():
+        value += rng.normal(0, 0.2, value.shape).astype(np.float32)
+    x, y = rng.integers(0, size, (5, 9)), rng.integers(0, size, (5, 9))
+    x[0, 6:], y[0, 5:] = size + 1, -1
+    real = y >= 0
+    loss = lambda: -model.log10(x, np.maximum(y, 0))[real].sum() * math.log(10) / math.sqrt(real.sum())
+    start = {k: v.astype(np.float64) for k, v in model.p.items()}
+    bits, before = model.step(x, y, 1e-9), loss()
+    assert abs(bits - before / math.log(2) / math.sqrt(real.sum())) < 1e-3
+    # What the step keeps of the gradients, against differences of the loss.
+    at, grads = 0, {}
+    for name in model.DENSE:
+        grads[name] = model.first[at : at + start[name].size].reshape(start[name].shape) * 10
+        at += start[name].size
+    for name in (*model.DENSE, *model.SPARSE):
+        slope = grads[name] if name in grads else np.sqrt(model.second[name])
+        for place in np.argsort(-np.abs(slope).ravel())[:3]:
+            place, sides = np.unravel_index(place, slope.shape), []
+            for side in (0.001, -0.001):
+                model.p[name][place] = start[name][place] + side
+                sides.append(loss())
+            model.p[name][place] = start[name][place]
+            got = (sides[0] - sides[1]) / 0.002
+            assert abs((got if name in grads else abs(got)) - slope[place]) < 0.02 * abs(slope[place]) + 2e-3, (name, place)
+
+
+def test_training_costs_a_few_times_what_scoring_does():
+    # In a process of its own with one thread, as in Spark's workers; the figures are the best of many.
+    code = """
+import time, numpy as np
+from cartulary.llm import attention
+rng = np.random.default_rng(1)
+size = 20000
+ids = rng.permutation(size)[np.minimum(rng.zipf(1.2, 64 * 24 + 1), size) - 1]
+counts = np.bincount(ids, minlength=size) * 1000.0
+model = attention.Model(attention.Tree(counts))
+windows = attention.windows(ids[1:], ids[0])
+scorer = attention.Scorer(model)
+def best(work):
+    took = []
+    for _ in range(40):
+        began = time.thread_time()
+        work()
+        took.append(time.thread_time() - began)
+    return min(took)
+print(best(lambda: model.step(windows[:, :-1].astype(np.int64), windows[:, 1:].astype(np.int64), 0.1)) / best(lambda: scorer.log10(ids[1:].astype(np.int64), np.array([0, len(ids) - 1]))))
+"""
+    ratio = float(subprocess.run([sys.executable, "-c", code], env=os.environ | {"OMP_NUM_THREADS": "1", "PYTHONPATH": str(Path(attention.__file__).resolve().parents[2])}, capture_output=True, text=True, check=True, timeout=120).stdout)
+    assert ratio < 5, ratio
+
+
 def test_model_beats_unigrams_on_held_out_texts(spark):
     rows = [(i, prose(700 + i, 80)) for i in range(150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
