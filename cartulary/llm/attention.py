@@ -76,6 +76,17 @@ def strung(begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(begin - first, n) + np.arange(int(end[-1]) if len(n) else 0), first
 
 
+def _summed(rows: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of stretches of n rows, at least one, from first on; for stretches of few rows, where reduceat is slow."""
+    out, k = rows.take(first, 0), 1
+    longer = np.flatnonzero(n > 1)
+    while len(longer):
+        out[longer] += rows.take(first[longer] + k, 0)
+        k += 1
+        longer = longer[n[longer] > k]
+    return out
+
+
 def _most(s: np.ndarray) -> np.ndarray:
     """The largest of each row; max is slow along short rows."""
     return np.ascontiguousarray(s.reshape(-1, s.shape[2]).T).max(axis=0).reshape(*s.shape[:2], 1)
@@ -161,10 +172,18 @@ class Model:
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         own = at[first]
         for name, grad in grads.items():
-            g = np.add.reduceat(grad.take(order, 0), first, axis=0)
-            total = self.second[name].take(own, 0) + g * g
+            grad = grad.take(order, 0)
+            # As complex numbers two columns are added at once.
+            g = np.add.reduceat(grad.view(np.complex64), first, axis=0).view(np.float32) if grad.shape[1] % 2 == 0 else np.add.reduceat(grad, first, axis=0)
+            total = g * g
+            total += self.second[name].take(own, 0)
             self.second[name][own] = total
-            self.p[name][own] -= rate * g / (np.sqrt(total) + np.float32(1e-6))
+            np.sqrt(total, out=total)
+            total += np.float32(1e-6)
+            g *= -rate
+            g /= total
+            g += self.p[name].take(own, 0)
+            self.p[name][own] = g
 
     def _decide(self, f: np.ndarray, ids: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
         """Steps of the tree's nodes on the walks to ids from states f: the gradients of the states, and the bits of all."""
@@ -201,7 +220,7 @@ class Model:
             g, more = turned(np.einsum("rd,rd->r", vectors, states) + p["a"].take(nodes), tree.signs.take(flat))
             bits += more
             vectors *= g[:, None]
-            d[far] += np.add.reduceat(vectors, first, axis=0)
+            d[far] += _summed(vectors, first, n)
             states *= g[:, None]
             self._sparse(nodes, rate, n=states, a=g[:, None])
         for name, grad in steps.items():

@@ -312,6 +312,24 @@ def test_training_step_goes_down_the_slope():
             assert abs((got if name in grads else abs(got)) - slope[place]) < 0.02 * abs(slope[place]) + 2e-3, (name, place)
 
 
+def test_steps_of_repeated_rows_take_the_sum_of_their_gradients():
+    rng = np.random.default_rng(8)
+    n = np.array([1, 3, 1, 40, 2])
+    rows = rng.normal(size=(n.sum(), 6)).astype(np.float32)
+    want = np.stack([part.sum(axis=0) for part in np.split(rows, np.cumsum(n)[:-1])])
+    assert np.allclose(attention._summed(rows, np.cumsum(n) - n, n), want, atol=1e-5)
+    model = attention.Model(attention.Tree(rng.integers(1, 50, 300)))
+    at, order = np.repeat([7, 2, 90, 4, 11], n), rng.permutation(n.sum())
+    grads = {"n": rng.normal(size=(len(at), attention.WIDTH)).astype(np.float32), "a": rng.normal(size=(len(at), 1)).astype(np.float32)}
+    start = {k: model.p[k].copy() for k in grads}
+    model._sparse(at[order], np.float32(0.1), **{k: g[order] for k, g in grads.items()})
+    for name, grad in grads.items():
+        sums = np.zeros(start[name].shape)
+        np.add.at(sums, at, grad)
+        assert np.allclose(model.second[name], sums**2, rtol=1e-3, atol=1e-4)
+        assert np.allclose(model.p[name], start[name] - 0.1 * np.sign(sums), atol=1e-3)
+
+
 def test_training_costs_a_few_times_what_scoring_does():
     # In a process of its own with one thread, as in Spark's workers; the figures are the best of many.
     code = """
